@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duelframe import constants as K
 from duelframe.catalog.fixtures import load
-from duelframe.functions.columns import quoted
+from duelframe.functions.columns import quoted, sql_name
 from duelframe.functions.dates import (
     compact_season,
     day_before,
@@ -47,13 +47,14 @@ def tidy(df: DataFrame) -> DataFrame:
     give timestamps one type."""
     out = []
     for name, type_ in df.dtypes:
-        c = quoted(name)
+        c = sql_name(name)
         if type_ == "double":
-            c = F.round(c, DIGITS) + F.lit(0.0)
+            out.append(f"round({c}, {DIGITS}) + 0.0D as {c}")
         elif type_.startswith("timestamp"):
-            c = c.cast("timestamp_ntz")
-        out.append(c.alias(name))
-    return df.select(*out)
+            out.append(f"cast({c} as timestamp_ntz) as {c}")
+        else:
+            out.append(c)
+    return df.selectExpr(*out)
 
 
 def _long(spark, sf, *more):
@@ -125,8 +126,8 @@ def long_team_rows(spark, sf):
     return tidy(rows)
 
 
-def _features_only(df, *more):
-    return tidy(df.select("match_id", "team", *more, *rolling.feature_columns(df.columns)))
+def _features_only(df):
+    return tidy(df.selectExpr("match_id", "team", *rolling.feature_columns(df.columns)))
 
 
 @query
@@ -150,9 +151,10 @@ def rolling_games(spark, sf):
 @query
 def rolling_large_groups(spark, sf):
     """The way taken for groups too long for one task, forced by a low limit."""
-    _, rows, _ = _long(spark, sf)
+    matches, rows, _ = _long(spark, sf)
+    limit = max(matches.count() // 300, 1)
     return _features_only(
-        rolling.trailing_features(rows, windows=(3, 5), stats=["xg_for", "points"], max_group_rows=20)
+        rolling.trailing_features(rows, windows=(3, 5), stats=["xg_for", "points"], max_group_rows=limit)
     )
 
 
@@ -209,7 +211,8 @@ def interval_from_events(spark, sf):
 @query
 def interval_large_groups(spark, sf):
     (updates,) = load(spark, sf, "rating_updates")
-    return tidy(history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"), max_group_rows=20))
+    limit = max(updates.count() // 52, 1)
+    return tidy(history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"), max_group_rows=limit))
 
 
 @query

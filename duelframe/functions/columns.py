@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def sql_name(name: str) -> str:
+    """The name in back-quotes, for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
     """Column by its exact name, also when the name holds a dot."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
 def existing_or_null(df: DataFrame, name: str, alias: str | None = None, type_: str = "double") -> Column:

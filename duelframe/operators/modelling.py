@@ -104,14 +104,8 @@ def with_split(df: DataFrame, seasons: Seasons | None = None) -> DataFrame:
 
 
 def _booster(label: str, name: str, params: dict) -> GBTClassifier:
-    return GBTClassifier(
-        labelCol=label,
-        featuresCol="_features",
-        predictionCol=f"_class_{name}",
-        probabilityCol=f"_p_{name}",
-        rawPredictionCol=f"_raw_{name}",
-        **params,
-    )
+    booster = GBTClassifier(labelCol=label, featuresCol="_features", predictionCol=f"_class_{name}", **params)
+    return booster.setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_raw_{name}")
 
 
 def fit_models(train: DataFrame, features: list[str], params: dict | None = None) -> tuple[PipelineModel, PipelineModel]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duelframe import constants as K
-from duelframe.functions.columns import known_first, quoted
+from duelframe.functions.columns import known_first, quoted, sql_name
 from duelframe.functions.dates import parse_timestamp, strict_timestamp
 from duelframe.functions.text import path_key
 
@@ -74,7 +74,7 @@ def base_matches(df: DataFrame) -> DataFrame:
 
 def reorder(df: DataFrame, order: list[str]) -> DataFrame:
     """Known columns first, the others behind them."""
-    return df.select(*[quoted(c) for c in known_first(df.columns, order)])
+    return df.selectExpr(*[sql_name(c) for c in known_first(df.columns, order)])
 
 
 def with_constants(df: DataFrame, **values) -> DataFrame:

@@ -47,6 +47,10 @@ def _ratio(candidate: pd.Series, word: pd.Series) -> pd.Series:
     )
 
 
+# Marked so that the plan does not compute it once for the filter and again for the score.
+_ratio = _ratio.asNondeterministic()
+
+
 def _keyed(names: DataFrame, column: str, cutoff: float, partner_first: bool) -> DataFrame:
     """One row per possible partner length and token that such a partner may share."""
     # Names too different in length cannot reach the cut-off.
