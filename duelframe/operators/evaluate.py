@@ -58,12 +58,22 @@ def over_metrics(df: DataFrame, truth: str = "Over", p: str = "p_over") -> DataF
     )
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows that have both values; NaN if one of them is constant
+    (where `corr` would divide by zero and fail)."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / F.when(spread != 0, spread))
+
+
 def probability_correlation(df: DataFrame) -> DataFrame:
     """One row: model against implied probability, home win and Over."""
     implied_h = implied_probabilities([F.col(c) for c in K.RESULT_ODDS])[0]
     implied_over = implied_probabilities([F.col(c) for c in K.OVER_ODDS])[0]
     return df.agg(
-        F.corr("p_h", implied_h).alias("corr_h"), F.corr("p_over", implied_over).alias("corr_over")
+        correlation(F.col("p_h"), implied_h).alias("corr_h"),
+        correlation(F.col("p_over"), implied_over).alias("corr_over"),
     )
 
 
@@ -168,12 +178,12 @@ def comparison_report(scored: dict[str, DataFrame]) -> DataFrame:
         right_over = ((F.col("p_over") >= 0.5).cast("int") == F.col("Over")).cast("double")
         figures = {
             ("result", "accuracy"): F.avg(right_result),
-            ("result", "correlation"): F.corr("p_h", implied_h),
+            ("result", "correlation"): correlation(F.col("p_h"), implied_h),
             ("result", "bets"): result["bets"].cast("double"),
             ("result", "profit"): result["total_profit"],
             ("result", "roi"): result["avg_return"],
             ("over", "accuracy"): F.avg(right_over),
-            ("over", "correlation"): F.corr("p_over", implied_over),
+            ("over", "correlation"): correlation(F.col("p_over"), implied_over),
             ("over", "bets"): over["bets"].cast("double"),
             ("over", "profit"): over["total_profit"],
             ("over", "roi"): over["avg_return"],
