@@ -6,6 +6,8 @@ suppliers the current rating table, parts the names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from duelframe.session import apply_settings
@@ -221,8 +223,11 @@ def oracle(names: list[str], sql: str, recursive: bool = False) -> str:
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The recipes as DataFrames over the tables in `sf_dir`."""
     apply_settings(spark)
+    recipes = _ordered(list(names))
+    text = " ".join(RECIPES[name][1] for name in recipes)
     for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for name in _ordered(list(names)):
+        if re.search(rf"\b{table}\b", text):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    for name in recipes:
         spark.sql(RECIPES[name][1]).createOrReplaceTempView(name)
     return [spark.table(name) for name in names]

@@ -28,7 +28,8 @@ from duelframe.plans.predict import predict_coming
 from duelframe.plans.train import train_and_compare
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+PLAIN: dict[str, Query] = {}      # as the operators return it
+QUERIES: dict[str, Query] = {}    # made comparable between engines
 
 DIGITS = 6
 COUNTRIES = [f"C{i}" for i in range(6)]
@@ -38,7 +39,8 @@ SINCE = "1995-03-01"
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    PLAIN[f.__name__] = f
+    QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
     return f
 
 
@@ -68,7 +70,7 @@ def _long(spark, sf, *more):
 @query
 def normalised_matches(spark, sf):
     (raw,) = load(spark, sf, "raw_matches")
-    return tidy(norm.normalise_matches(raw))
+    return norm.normalise_matches(raw)
 
 
 @query
@@ -79,13 +81,13 @@ def landed_matches(spark, sf):
         F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("Date"), "home_team", "away_team",
         F.col("home_shots").alias("Home_Shot"), F.col("away_sot").alias("Away_ShotOnTarget"),
     )
-    return tidy(norm.with_path_keys(norm.normalise_landed(landed), ["league"]))
+    return norm.with_path_keys(norm.normalise_landed(landed), ["league"])
 
 
 @query
 def base_match_columns(spark, sf):
     (matches,) = load(spark, sf, "matches")
-    return tidy(norm.base_matches(norm.drop_existing(matches, ["home_sot", "absent"])))
+    return norm.base_matches(norm.drop_existing(matches, ["home_sot", "absent"]))
 
 
 @query
@@ -93,7 +95,7 @@ def richest_row_dedup(spark, sf):
     (matches,) = load(spark, sf, "matches")
     keep = ["league", "match_id", "season", "home_team", "away_team", "home_goals", "home_xg"]
     played = matches.filter("home_goals is not null").select(*keep)
-    return tidy(feature_plan.combine_landed([played], [matches.drop("home_xg").select(*keep[:-1])]))
+    return feature_plan.combine_landed([played], [matches.drop("home_xg").select(*keep[:-1])])
 
 
 @query
@@ -123,11 +125,11 @@ def season_labels(spark, sf):
 @query
 def long_team_rows(spark, sf):
     _, rows, _ = _long(spark, sf)
-    return tidy(rows)
+    return rows
 
 
 def _features_only(df):
-    return tidy(df.selectExpr("match_id", "team", *rolling.feature_columns(df.columns)))
+    return df.selectExpr("match_id", "team", *rolling.feature_columns(df.columns))
 
 
 @query
@@ -162,7 +164,7 @@ def rolling_large_groups(spark, sf):
 def match_level_features(spark, sf):
     matches, rows, _ = _long(spark, sf)
     base = norm.base_matches(matches)
-    return tidy(matchlevel.match_features(base, rolling.trailing_features(rows, windows=(5,), scopes=("ovr",))))
+    return matchlevel.match_features(base, rolling.trailing_features(rows, windows=(5,), scopes=("ovr",)))
 
 
 # ---- ratings ----
@@ -172,27 +174,27 @@ def match_level_features(spark, sf):
 def asof_rating(spark, sf):
     matches, ratings = load(spark, sf, "matches", "elo_history")
     lookups = matches.select(F.col("home_team").alias("team"), day_before(F.col("date")).alias("day"))
-    return tidy(asof.rating_on_day(lookups, ratings))
+    return asof.rating_on_day(lookups, ratings)
 
 
 @query
 def asof_rating_both_sides(spark, sf):
     matches, ratings = load(spark, sf, "matches", "elo_history")
     slim = matches.select("match_id", "date", "home_team", "away_team")
-    return tidy(asof.attach_ratings(slim, ratings))
+    return asof.attach_ratings(slim, ratings)
 
 
 @query
 def canonical_ratings(spark, sf):
     ratings, names = load(spark, sf, "raw_ratings", "rating_names")
-    return tidy(mapping.canonical_only(ratings, names, "team"))
+    return mapping.canonical_only(ratings, names, "team")
 
 
 @query
 def rating_fill_current(spark, sf):
     matches, ratings, current = load(spark, sf, "matches", "elo_history", "current_ratings")
     slim = matches.select("match_id", "date", "home_team", "away_team")
-    return tidy(asof.fill_current_ratings(asof.attach_ratings(slim, ratings), current))
+    return asof.fill_current_ratings(asof.attach_ratings(slim, ratings), current)
 
 
 @query
@@ -205,20 +207,20 @@ def missing_rating_counts(spark, sf):
 @query
 def interval_from_events(spark, sf):
     (updates,) = load(spark, sf, "rating_updates")
-    return tidy(history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz")))
+    return history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"))
 
 
 @query
 def interval_large_groups(spark, sf):
     (updates,) = load(spark, sf, "rating_updates")
     limit = max(updates.count() // 52, 1)
-    return tidy(history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"), max_group_rows=limit))
+    return history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"), max_group_rows=limit)
 
 
 @query
 def history_since(spark, sf):
     (ratings,) = load(spark, sf, "elo_history")
-    return tidy(history.since(ratings, F.lit(SINCE).cast("timestamp_ntz")))
+    return history.since(ratings, F.lit(SINCE).cast("timestamp_ntz"))
 
 
 @query
@@ -231,7 +233,7 @@ def team_universe_first(spark, sf):
 def built_rating_history(spark, sf):
     updates, snapshots = load(spark, sf, "rating_updates", "rating_snapshots")
     lone_end = updates.select("team", F.col("valid_from").cast("string").alias("to"), F.col("elo").cast("string").alias("elo"))
-    return tidy(
+    return (
         history.build_history(
             lone_end, F.lit("2000-01-01").cast("timestamp_ntz"), F.lit(SINCE).cast("timestamp_ntz"),
             history.team_universe(snapshots),
@@ -249,20 +251,20 @@ def snapshot_dates_series(spark, sf):
 @query
 def top_n_per_country(spark, sf):
     (table,) = load(spark, sf, "elo_snapshot")
-    return tidy(snapshot.top_division(table, COUNTRIES, COUNTS))
+    return snapshot.top_division(table, COUNTRIES, COUNTS)
 
 
 @query
 def top_division_by_level(spark, sf):
     (table,) = load(spark, sf, "elo_snapshot_levels")
-    return tidy(snapshot.top_division(table, COUNTRIES[:5], COUNTS))
+    return snapshot.top_division(table, COUNTRIES[:5], COUNTS)
 
 
 @query
 def rating_roster(spark, sf):
     (table,) = load(spark, sf, "elo_snapshot")
     asof_table = snapshot.asof_snapshot(snapshot.top_division(table, COUNTRIES, COUNTS), AS_OF)
-    return tidy(
+    return (
         asof_table.join(snapshot.roster(asof_table).drop("country"), "team_clubelo")
     )
 
@@ -273,7 +275,7 @@ def selected_rating_histories(spark, sf):
     full = history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"))
     table = history.team_universe(snapshots).withColumn("elo", F.length("team") * 1.0)
     asof_table = snapshot.asof_snapshot(snapshot.top_division(table, COUNTRIES, COUNTS), AS_OF)
-    return tidy(history.selected_histories(full, asof_table))
+    return history.selected_histories(full, asof_table)
 
 
 # ---- odds ----
@@ -283,7 +285,7 @@ def selected_rating_histories(spark, sf):
 def odds_coalesce_join(spark, sf):
     matches, mh = load(spark, sf, "matches", "match_history")
     joined = odds.attach_odds(matches, odds.prepare_odds(mh))
-    return tidy(
+    return (
         joined.select("match_id", *odds.MATCH_KEY, *odds.SHOT_COLUMNS, *K.RESULT_ODDS, *K.OVER_ODDS)
     )
 
@@ -291,7 +293,7 @@ def odds_coalesce_join(spark, sf):
 @query
 def implied_probabilities(spark, sf):
     _, mh = load(spark, sf, "matches", "match_history")
-    return tidy(
+    return (
         odds.with_implied_probabilities(odds.prepare_odds(mh)).select(
             *odds.MATCH_KEY, "implied_h", "implied_d", "implied_a", "implied_over", "implied_under"
         )
@@ -355,7 +357,7 @@ def resolve_source_pair(spark, sf):
 @query
 def similar_name_pairs(spark, sf):
     raw, known = load(spark, sf, "raw_names", "canonical_names")
-    return tidy(
+    return (
         similarity.similar_pairs(
             raw.select(F.col("raw").alias("word")), known.select(F.col("name").alias("candidate")), K.FUZZY_CUTOFF
         )
@@ -365,7 +367,7 @@ def similar_name_pairs(spark, sf):
 @query
 def closest_names(spark, sf):
     raw, known = load(spark, sf, "raw_names", "canonical_names")
-    return tidy(
+    return (
         similarity.closest_names(
             raw.select(F.col("raw").alias("word")), known.select(F.col("name").alias("candidate")), K.FUZZY_CUTOFF
         )
@@ -404,7 +406,7 @@ def min_history_filter(spark, sf):
 def model_matrix(spark, sf):
     table = modelling.with_targets(modelling.min_history(_model_table(spark, sf)))
     names = modelling.select_feature_columns(table.columns)
-    return tidy(modelling.complete_rows(modelling.with_split(table), names).select("match_id", "split", "match_result", "Over", *names))
+    return modelling.complete_rows(modelling.with_split(table), names).select("match_id", "split", "match_result", "Over", *names)
 
 
 # ---- evaluation ----
@@ -420,39 +422,39 @@ def _judged(spark, sf):
 
 @query
 def class_f1_scores(spark, sf):
-    return tidy(evaluate.class_scores(_judged(spark, sf), "match_result", "result_pred"))
+    return evaluate.class_scores(_judged(spark, sf), "match_result", "result_pred")
 
 
 @query
 def result_metrics(spark, sf):
-    return tidy(evaluate.result_metrics(_judged(spark, sf)))
+    return evaluate.result_metrics(_judged(spark, sf))
 
 
 @query
 def over_metrics(spark, sf):
-    return tidy(evaluate.over_metrics(_judged(spark, sf)))
+    return evaluate.over_metrics(_judged(spark, sf))
 
 
 @query
 def prob_correlation(spark, sf):
-    return tidy(evaluate.probability_correlation(_judged(spark, sf)))
+    return evaluate.probability_correlation(_judged(spark, sf))
 
 
 @query
 def betting_result(spark, sf):
-    return tidy(evaluate.betting_result(_judged(spark, sf)))
+    return evaluate.betting_result(_judged(spark, sf))
 
 
 @query
 def betting_over(spark, sf):
-    return tidy(evaluate.betting_over(_judged(spark, sf)))
+    return evaluate.betting_over(_judged(spark, sf))
 
 
 @query
 def model_comparison(spark, sf):
     a = _judged(spark, sf)
     b = a.withColumn("p_over", F.col("p_over") * 0.5 + 0.25)
-    return tidy(evaluate.comparison_report({"A": a, "B": b}))
+    return evaluate.comparison_report({"A": a, "B": b})
 
 
 # ---- report ----
@@ -461,7 +463,7 @@ def model_comparison(spark, sf):
 @query
 def coming_matches(spark, sf):
     (matches,) = load(spark, sf, "matches")
-    return tidy(report.coming_matches(matches, "1997-07-14").select("match_id", "date"))
+    return report.coming_matches(matches, "1997-07-14").select("match_id", "date")
 
 
 @query
@@ -469,7 +471,7 @@ def prediction_report(spark, sf):
     (p,) = load(spark, sf, "predictions")
     # Infinite odds are compared as a text: hashes of infinity differ between engines.
     out = report.prediction_report(p)
-    return tidy(
+    return (
         out.withColumns(
             {c: F.when(quoted(c) == float("inf"), F.lit("inf")).otherwise(quoted(c).cast("decimal(20,2)").cast("string"))
              for c in ("Odds_Over_2.5", "Odds_Under_2.5")}
@@ -492,13 +494,13 @@ def _training_base(spark, sf):
 
 @query
 def training_base(spark, sf):
-    return tidy(_training_base(spark, sf))
+    return _training_base(spark, sf)
 
 
 @query
 def training_features(spark, sf):
     """The whole feature table: 738 trailing columns on the base."""
-    return tidy(feature_plan.build_features(_training_base(spark, sf)))
+    return feature_plan.build_features(_training_base(spark, sf))
 
 
 SMALL_TREES = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 26, "seed": 42}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from duelframe.plans import features as feature_plan
 from duelframe.plans import names as name_plan
 from duelframe.plans import ratings as rating_plan
-from duelframe.plans.predict import predict_coming
+from duelframe.plans.predict import predict_coming_counted
 from duelframe.plans.train import train_and_compare
 from duelframe.session import build_session
 from duelframe.sources import readers, writers
@@ -95,13 +95,14 @@ def train(spark: SparkSession, args) -> None:
 
 
 def predict(spark: SparkSession, args) -> None:
-    report = predict_coming(
+    report, counts = predict_coming_counted(
         readers.read_table(spark, args.input),
         readers.read_model(f"{args.models}/result_model"),
         readers.read_model(f"{args.models}/over_model"),
         args.as_of,
     )
-    writers.write_csv(report, args.output, order=["Day", "Time", "league", "home_team"])
+    writers.write_csv(report, args.output)
+    print(f"coming matches: {counts.get['rows']}, dropped for missing features: {counts.get['dropped']}")
 
 
 JOBS = {
