@@ -43,7 +43,7 @@ HEADLINE = [
 ]
 
 
-AGAIN_BELOW = 15.0
+AGAIN_BELOW = 40.0
 
 
 def timed(query, spark, sf_dir: str) -> float:
