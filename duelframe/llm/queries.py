@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import bpe, decontaminate, html_graph, langid, lengths, rotated_codes, sharding, wavelet
+from duelframe.llm import bpe, decontaminate, html_graph, langid, lengths, ngram_join, rotated_codes, sharding, wavelet
 from duelframe.llm.common import read_table, whole_text
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,10 @@ def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_graph.extract_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(read_table(spark, sf_dir, "documents"), 3, 90)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES = {
         op7_token_counts,
         op8_decontamination,
         op9_page_text,
+        op10_ngram_join,
     )
 }
 
