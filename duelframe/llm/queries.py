@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import bpe, decontaminate, html_graph, langid, lengths, ngram_join, rotated_codes, sharding, wavelet
+from duelframe.llm import bpe, decontaminate, html_graph, langid, lengths, ngram_join, rotated_codes, sharding, suffix_index, wavelet
 from duelframe.llm.common import read_table, whole_text
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = whole_text().cast("binary")
+    size, digest = F.octet_length(body).cast("long"), F.sha2(body, 256)
+    columns = [F.col("doc_id"), size.alias("n_bytes"), digest.alias("all_sha256")]
+    found = suffix_index.judged(read_table(spark, sf_dir, "documents"), columns)
+    kept = F.coalesce(F.sha2("kept", 256), "all_sha256").alias("kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", kept)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(read_table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"])
     return coded.select(
@@ -74,6 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding,
+        op2_suffix_dedup,
         op3_bpe,
         op4_nearest,
         op5_token_shards,
