@@ -1,8 +1,83 @@
-"""The corpus pipeline: stages over `documents`, each one operator of duelframe.llm."""
+"""The corpus pipeline: documents of known language, one of each near-duplicate group, without
+long repeats and without benchmark items, as token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
+again as the next one's `docs`. All but the last return the columns of `docs`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duelframe.llm import bpe, decontaminate, langid, ngram_join, suffix_index
+from duelframe.llm.common import read_table, stored, without
+from duelframe.llm.queries import VOCABULARY
+
+#: Near duplicates: n-grams of so many words, similarity in percent.
+WORDS, PERCENT = 5, 80
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach. Without letters there is none:
+    such documents and null texts go."""
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs, model)
+    return same_columns(found.where(F.col("lang_pred") != langid.UNKNOWN), docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near duplicates, the one with the least id. Rows that repeat an
+    id are one document. Documents without words, and those without an id that equal none
+    with one, stay."""
+    classes = stored(ngram_join.similarity_classes(docs, WORDS, PERCENT), "classes")
+    stay = classes.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    found = docs.hint("shuffle_merge").join(stay, "doc_id")
+    once = found.where("_n = 1").unionByName(found.where("_n > 1").dropDuplicates(["doc_id"]))
+    nameless = docs.where("doc_id is null")
+    return same_columns(once, docs).unionByName(same_columns(nameless.dropDuplicates(["text"]), docs))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their text without the bytes of long repeats; `n_chars` follows."""
+    cut = suffix_index.remove_repeats(docs)
+    if "n_chars" in cut.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return same_columns(cut, docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    found = decontaminate.find_items(docs, read_table(spark, sf_dir, "benchmark"))
+    return same_columns(found.where(F.size("item_ids") == 0), docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids in place of its text, and the digest of their decoding."""
+    coded = bpe.encode_decode(docs, VOCABULARY, keep=without(docs, ["text", "n_tokens", "ids", "decoded"]).columns)
+    return coded.withColumn("decoded", F.sha2(F.col("decoded").cast("binary"), 256)).withColumnRenamed("decoded", "decoded_sha256")
+
+
+STAGES = [
+    ("language", keep_languages),
+    ("near_duplicates", keep_one_of_each),
+    ("repeats", cut_repeats),
+    ("decontamination", drop_benchmark),
+    ("tokens", encode),
+]
+
+#: Automata, edit distances and byte pairs are beyond SQL; tests hold brute force against it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
