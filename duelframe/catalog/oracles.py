@@ -152,7 +152,7 @@ ORACLES["rolling_venue"] = oracle(
 )
 ORACLES["rolling_games"] = oracle(["matches"], f"{long_ctes()} {features_sql(K.SCOPES, K.WINDOWS, [])}")
 ORACLES["rolling_large_groups"] = oracle(
-    ["matches"], f"{long_ctes()} {features_sql(K.SCOPES, (3, 5), ['xg_for', 'points'])}"
+    ["matches"], f"{long_ctes()} {features_sql(K.SCOPES, (3, 5), K.STATS)}"
 )
 _BASE = [c for c in K.BASE_COLUMNS if c not in K.RESULT_ODDS + K.OVER_ODDS and "elo" not in c]
 

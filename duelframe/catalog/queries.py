@@ -36,6 +36,7 @@ COUNTRIES = [f"C{i}" for i in range(6)]
 COUNTS = {"C0": 6, "C1": 5, "C2": 4, "C4": 3}
 AS_OF = "1998-08-10"
 SINCE = "1995-03-01"
+PIECES = 48
 
 
 def query(f: Query) -> Query:
@@ -152,12 +153,9 @@ def rolling_games(spark, sf):
 
 @query
 def rolling_large_groups(spark, sf):
-    """The way taken for groups too long for one task, forced by a low limit."""
-    matches, rows, _ = _long(spark, sf)
-    limit = max(matches.count() // 300, 1)
-    return _features_only(
-        rolling.trailing_features(rows, windows=(3, 5), stats=["xg_for", "points"], max_group_rows=limit)
-    )
+    """The way for groups too long for one task: sequences cut into pieces."""
+    _, rows, _ = _long(spark, sf)
+    return _features_only(rolling.trailing_features(rows, windows=(3, 5), pieces=PIECES))
 
 
 @query
@@ -213,8 +211,7 @@ def interval_from_events(spark, sf):
 @query
 def interval_large_groups(spark, sf):
     (updates,) = load(spark, sf, "rating_updates")
-    limit = max(updates.count() // 52, 1)
-    return history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"), max_group_rows=limit)
+    return history.with_interval_end(updates, F.lit("2000-01-01").cast("timestamp_ntz"), pieces=PIECES)
 
 
 @query
@@ -475,7 +472,7 @@ def prediction_report(spark, sf):
         out.withColumns(
             {c: F.when(quoted(c) == float("inf"), F.lit("inf")).otherwise(quoted(c).cast("decimal(20,2)").cast("string"))
              for c in ("Odds_Over_2.5", "Odds_Under_2.5")}
-        ).withColumn("match_id", F.lit(None).cast("string")).drop("match_id")
+        )
     )
 
 

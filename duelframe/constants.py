@@ -103,6 +103,11 @@ RATING_COLUMNS = ["elo_diff", "elo_sum", "elo_mean"]
 RESULT_CLASSES = ["A", "D", "H"]
 OVER_LINE = 2.5
 
+FRONT_COLUMNS = [
+    "match_id", "league_id", "league", "season", "date",
+    "home_team", "away_team", "home_goals", "away_goals", "Over",
+]
+
 HISTORY_WINDOW = 5      # window of the model features and of the history filter
 HISTORY_GAMES = 5       # prior games both sides need for training
 
@@ -112,7 +117,6 @@ RATING_COUNTRIES = ["GER", "ESP", "ENG", "ITA", "FRA"]
 TOP_COUNTS = {"ENG": 20, "ESP": 20, "GER": 18, "ITA": 20, "FRA": 18, "RUS": 16}
 DEFAULT_TOP_COUNT = 20
 
-LEAGUES = ["ENG-Premier League", "ESP-La Liga", "GER-Bundesliga", "ITA-Serie A", "FRA-Ligue 1"]
 FIRST_SEASON_YEAR = 2014
 
 FUZZY_CUTOFF = 0.6

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.columns import quoted
 
-# A lookup table of this many narrow rows fits every executor with room to spare.
-BROADCAST_ROWS = 200_000
-
 
 def require_columns(df: DataFrame, needed: list[str], purpose: str) -> None:
     """Fail before any job starts if a column is missing."""
@@ -40,12 +37,6 @@ def require_unique(df: DataFrame, keys: list[str], purpose: str) -> DataFrame:
     return df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger table joins by shuffle (AQE splits hot keys)."""
-    counted = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if counted <= max_rows else df
-
-
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
     """Attach counters that fill in while the next action runs; no extra pass."""
     observation = Observation(name)

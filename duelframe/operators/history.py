@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from duelframe import constants as K
 from duelframe.functions.columns import quoted
 from duelframe.functions.dates import lenient_number, lenient_timestamp
-from duelframe.operators.checks import broadcast_if_small, require_columns
+from duelframe.operators.checks import require_columns
 from duelframe.operators.normalize import rename_existing
-from duelframe.operators.sequences import MAX_GROUP_ROWS, previous_name, with_previous
+from duelframe.operators.sequences import previous_name, with_previous
 
 
 def team_universe(snapshots: DataFrame) -> DataFrame:
@@ -50,16 +50,16 @@ def with_interval_end(
     by: str = "team",
     start: str = "valid_from",
     end: str = "valid_to",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """An update holds until the day before the team's next one, the last until `as_of`.
 
     The next row is the previous one in descending order, so a team with a very long
-    history is cut into pieces like any other long sequence.
+    history can be cut into `pieces` like any other long sequence.
     """
     tie = [(c, "desc_nulls_first") for c in updates.columns if c not in (by, start)]
     following = with_previous(
-        updates, [by], [(start, "desc_nulls_first")] + tie, [start], 1, max_group_rows
+        updates, [by], [(start, "desc_nulls_first")] + tie, [start], 1, pieces
     )
     name = previous_name(1, start)
     day = F.expr("INTERVAL 1 DAY")
@@ -74,7 +74,7 @@ def since(history: DataFrame, cutoff: Column, start: str = "valid_from", end: st
 def with_country(history: DataFrame, universe: DataFrame) -> DataFrame:
     """Fill the country from the team universe (one row per team)."""
     known = universe.select("team", F.col("country").alias("_country"))
-    out = history.join(broadcast_if_small(known), "team", "left")
+    out = history.join(known, "team", "left")
     if "country" not in history.columns:
         return out.withColumnRenamed("_country", "country")
     return out.withColumn("country", F.coalesce("country", "_country")).drop("_country")
@@ -97,5 +97,5 @@ def selected_histories(history: DataFrame, asof: DataFrame) -> DataFrame:
     """Histories of the teams in the snapshot, with the snapshot's country."""
     teams = asof.groupBy(F.col("team_clubelo")).agg(F.min("country").alias("country"))
     return history.select(F.col("team").alias("team_clubelo"), "valid_from", "valid_to", "elo").join(
-        broadcast_if_small(teams), "team_clubelo", "inner"
+        teams, "team_clubelo", "inner"
     ).select("team_clubelo", "country", "valid_from", "valid_to", "elo")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.columns import quoted
-from duelframe.operators.checks import broadcast_if_small, require_columns
+from duelframe.operators.checks import require_columns
 
 
 def unique_map(name_map: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def unique_map(name_map: DataFrame) -> DataFrame:
 
 def replace_names(df: DataFrame, name_map: DataFrame, columns: list[str]) -> DataFrame:
     """Replace values through the map; values it does not hold stay."""
-    lookup = broadcast_if_small(unique_map(name_map))
+    lookup = unique_map(name_map)
     out = df
     for i, name in enumerate(columns):
         side = lookup.select(F.col("raw").alias(f"_raw{i}"), F.col("canonical").alias(f"_name{i}"))
@@ -28,7 +28,7 @@ def replace_names(df: DataFrame, name_map: DataFrame, columns: list[str]) -> Dat
 
 def canonical_only(df: DataFrame, name_map: DataFrame, column: str) -> DataFrame:
     """Replace values through the map and drop rows it does not hold."""
-    lookup = broadcast_if_small(unique_map(name_map))
+    lookup = unique_map(name_map)
     out = df.join(lookup, quoted(column) == F.col("raw"), "inner")
     return out.select(*[F.col("canonical").alias(c) if c == column else quoted(c) for c in df.columns])
 

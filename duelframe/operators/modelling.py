@@ -21,16 +21,8 @@ from duelframe.session import cut_lineage
 
 def select_feature_columns(columns: list[str], window: int = K.HISTORY_WINDOW) -> list[str]:
     """Overall trailing means of one window for both sides, and the rating features."""
-    chosen = [
-        c
-        for c in columns
-        if c.startswith("ovr__")
-        and f"__r{window}" in c
-        and "__sum__" not in c
-        and not c.startswith("ovr__games__")
-        and c.endswith(("__h", "__a"))
-    ]
-    return sorted(chosen + [c for c in K.RATING_COLUMNS if c in columns])
+    wanted = {f"ovr__{stat}__r{window}__{side}" for stat in K.STATS for side in ("h", "a")} | set(K.RATING_COLUMNS)
+    return sorted(wanted.intersection(columns))
 
 
 def min_history(df: DataFrame, games: int = K.HISTORY_GAMES, window: int = K.HISTORY_WINDOW) -> DataFrame:
@@ -108,16 +100,6 @@ def _booster(label: str, name: str, params: dict) -> GBTClassifier:
     return booster.setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_raw_{name}")
 
 
-def fit_models(train: DataFrame, features: list[str], params: dict | None = None) -> tuple[PipelineModel, PipelineModel]:
-    """The three-class result model and the two-class over model.
-
-    Spark's boosting has two classes, so the result model holds one booster per class;
-    `score` brings their probabilities to a sum of one.
-    """
-    params = dict(K.BOOSTING if params is None else params)
-    return fit_result(train, features, params), fit_over(train, features, params)
-
-
 def _matrix(train: DataFrame, features: list[str], labels: dict) -> tuple[VectorAssembler, DataFrame]:
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     ready = assembler.transform(complete_rows(train, features)).select("_features", *labels.values())

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -14,8 +11,6 @@ SETTINGS = {
     # Hot join keys: split them even if that costs an extra shuffle further up.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A two-sided table re-keys on subsets of one key; let one shuffle serve such joins.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -23,7 +18,7 @@ SETTINGS = {
 
 def build_session(app: str = "duelframe", master: str | None = None, **extra) -> SparkSession:
     """A session with the settings above; `extra` keys use `__` for dots."""
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in SETTINGS.items():
@@ -41,16 +36,14 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only in local mode."""
+    """The shared checkpoint folder: `spark.checkpoint.dir`, else a folder in the warehouse,
+    which a cluster shares too. Spark removes its files once nothing refers to them if
+    `spark.cleaner.referenceTracking.cleanCheckpoints` is on, as `build_session` sets it."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="duelframe-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

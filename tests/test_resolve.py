@@ -1,7 +1,6 @@
 import pytest
 
 from duelframe.operators import mapping
-from duelframe.operators.checks import broadcast_if_small
 from duelframe.operators.resolve import DIRECT_PAIR, FIRST_SOURCE, RATING_SOURCE, SECOND_SOURCE, as_name_map, resolve_names
 from duelframe.plans import names as plan
 
@@ -68,12 +67,6 @@ def test_canonical_only_drops_unmapped(spark):
     assert [tuple(r) for r in mapping.canonical_only(df, m, "team").collect()] == [("A", 1)]
 
 
-def test_broadcast_only_below_the_limit(spark):
-    large = broadcast_if_small(spark.range(101), max_rows=100)
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in broadcast_if_small(spark.range(10))._jdf.queryExecution().analyzed().toString()
-
-
 def test_maps_of_three_sources(spark):
     matches = spark.createDataFrame([("Milan", "Parma Calcio 1913"), ("Roma", "Milan")], "home_team string, away_team string")
     odds = spark.createDataFrame([("milan", "Parma"), ("roma", "Unknown")], "home_team string, away_team string")
