@@ -18,16 +18,17 @@ from duelframe.llm.queries import VOCABULARY
 WORDS, PERCENT = 5, 80
 
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one value beside its id and text, so that no column of it can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach. Without letters there is none:
     such documents and null texts go."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.identify(docs, model)
-    return same_columns(found.where(F.col("lang_pred") != langid.UNKNOWN), docs)
+    found = langid.identify(packed(docs), model, keep=["_row"])
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +37,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with one, stay."""
     classes = stored(ngram_join.similarity_classes(docs, WORDS, PERCENT), "classes")
     stay = classes.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    found = docs.hint("shuffle_merge").join(stay, "doc_id")
+    found = packed(docs).hint("shuffle_merge").join(stay, "doc_id")
     once = found.where("_n = 1").unionByName(found.where("_n > 1").dropDuplicates(["doc_id"]))
-    nameless = docs.where("doc_id is null")
-    return same_columns(once, docs).unionByName(same_columns(nameless.dropDuplicates(["text"]), docs))
+    return once.select("_row.*").unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +48,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in cut.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return same_columns(cut, docs)
+    return cut
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontaminate.find_items(docs, read_table(spark, sf_dir, "benchmark"))
-    return same_columns(found.where(F.size("item_ids") == 0), docs)
+    found = decontaminate.find_items(packed(docs), read_table(spark, sf_dir, "benchmark"), keep=["_row"])
+    return found.where(F.size("item_ids") == 0).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
