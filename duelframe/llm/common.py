@@ -35,6 +35,9 @@ def stored(df: DataFrame, label: str, **options) -> DataFrame:
     for key, value in options.items():
         writer = writer.option(key, value)
     writer.parquet(path)
+    # What was shuffled for it is needed no more; Spark's cleaner drops the files of
+    # shuffles once their plans are collected.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

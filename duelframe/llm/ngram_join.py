@@ -16,8 +16,8 @@ pieces. Block keys are dealt by range over (key, row), which splits a key of any
 
 Words are split at the six ASCII separators, A-Z count as a-z. A text with fewer words than
 an n-gram has one column, its whole sequence; null, empty and wordless texts have none and
-link with nothing. Rows without an id are linked but never name a component unless all of a
-component have none.
+link with nothing. Rows without an id take part through equal rows that have one; without
+any, their component is null. Rows that repeat an id are one node.
 """
 
 from __future__ import annotations
@@ -71,6 +71,11 @@ def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
+def short_digest(row: np.ndarray) -> int | None:
+    """First half of a row's 128-bit digest."""
+    return int.from_bytes(xxhash.xxh3_128_digest(row.tobytes())[:8], "little", signed=True) if len(row) else None
+
+
 def incidence(docs: DataFrame, text: Column, key: str, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, row, id_row, keys): the digest of each document's row, its first
     half as a number, and its block keys."""
@@ -79,12 +84,11 @@ def incidence(docs: DataFrame, text: Column, key: str, words: int, percent: int)
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
             rows = shingle_sets(columns[0].cast(pa.binary()).to_pylist(), words)
             digests = [xxhash.xxh3_128_digest(r.tobytes()) if len(r) else None for r in rows]
-            short = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests]
             keys = [block_keys(r, percent) for r in rows]
             return [
                 pa.array([len(r) for r in rows], pa.int64()),
                 pa.array(digests, pa.binary()),
-                pa.array(short, pa.int64()),
+                pa.array([short_digest(r) for r in rows], pa.int64()),
                 pa.array(keys, pa.list_(pa.int64())),
             ]
 
@@ -195,7 +199,8 @@ def tree(link: np.ndarray) -> list[tuple[int, int]]:
 def product(tasks: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of the rows (task columns, doc_id, grams) that each task holds."""
     names = ["middle", "i", "j"]
-    dealt = tasks.repartition(*names).sortWithinPartitions(*names, "doc_id")
+    dealt = tasks.select(*names, "doc_id", "id_row", "grams").repartition(*names)
+    dealt = dealt.sortWithinPartitions(*names, "doc_id", "id_row")
 
     def links(ids: list[int], grams: list[bytes]) -> pa.RecordBatch:
         sets = [np.frombuffer(g, np.uint64) for g in grams]
@@ -209,21 +214,21 @@ def product(tasks: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, grams = None, [], []
+        task, last, ids, grams = None, None, [], []
         for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in (*names, "doc_id", "grams")), strict=True)
-            for *here, doc, gram in rows:
+            for *here, doc, row, gram in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != task:
                     if len(ids) > 1:
                         yield links(ids, grams)
-                    task, ids, grams = here, [], []
-                if not ids or ids[-1] != doc:
+                    task, last, ids, grams = here, None, [], []
+                if (doc, row) != last:  # a repeated row counts once
+                    last = (doc, row)
                     ids.append(doc)
                     grams.append(gram)
         if len(ids) > 1:
             yield links(ids, grams)
 
-    return dealt.select(*names, "doc_id", "grams").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def overlap_with_middle(pairs: DataFrame) -> DataFrame:
@@ -241,19 +246,42 @@ def overlap_with_middle(pairs: DataFrame) -> DataFrame:
     return add_columns(pairs, [F.col("grams"), F.col("middle_grams")], [StructField("overlap", LongType())], work, keep)
 
 
-def group_edges(groups: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Edges of all groups (middle, id_row); `grams` has (id_row, doc_id, n, grams)."""
+def with_grams(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """`members` (doc_id, id_row, more) with `n` and `grams`, computed from the texts of
+    `docs` again. The join is by shuffle at any size, so its cost grows evenly."""
+
+    def work():
+        def compute(columns: list[pa.Array]) -> list[pa.Array]:
+            sets = shingle_sets(columns[0].cast(pa.binary()).to_pylist(), words)
+            own = [short_digest(s) == i for s, i in zip(sets, columns[1].to_pylist(), strict=True)]
+            return [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([s.tobytes() if o else None for s, o in zip(sets, own, strict=True)], pa.binary()),
+            ]
+
+        return compute
+
+    found = docs.hint("shuffle_merge").join(members, "doc_id")
+    fields = [StructField("n", LongType()), StructField("grams", BinaryType())]
+    made = add_columns(found, [F.col("text"), F.col("id_row")], fields, work, [c for c in found.columns if c != "text"])
+    return made.where("grams is not null")
+
+
+def group_edges(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges of all groups (middle, id_row, doc_id) of rows of `docs` (doc_id, text)."""
     sizes = groups.groupBy("middle").agg(F.count("*").alias("_rows"))
     sized = stored(groups.join(sizes, "middle"), "sized")
-    zero = F.lit(0)
-    plain = sized.where(F.col("_rows") <= GROUP).select("id_row", "middle", zero.alias("i"), zero.alias("j"))
-    tasks = plain.join(grams, "id_row").select("middle", "i", "j", "doc_id", "grams")
-    edges = product(tasks, percent)
+    zero = F.lit(0).cast("long")
+    plain = sized.where(F.col("_rows") <= GROUP).groupBy("doc_id", "id_row").agg(F.collect_list("middle").alias("middles"))
+    single = with_grams(docs, plain, words).withColumn("middle", F.explode("middles"))
+    edges = product(single.withColumns({"i": zero, "j": zero}), percent)
     large = sized.where(F.col("_rows") > GROUP)
     if large.isEmpty():
         return edges
+    grams = stored(with_grams(docs, large.select("doc_id", "id_row").distinct(), words).distinct(), "grams")
+    large = large.select("middle", "id_row", "doc_id")
     centre = grams.select(F.col("id_row").alias("middle"), F.col("doc_id").alias("c"), F.col("n").alias("c_n"), F.col("grams").alias("middle_grams"))
-    near = overlap_with_middle(large.join(grams, "id_row").join(centre, "middle").select("middle", "c", "c_n", "id_row", "doc_id", "n", "grams", "middle_grams"))
+    near = overlap_with_middle(large.join(grams, ["id_row", "doc_id"]).join(centre, "middle").select("middle", "c", "c_n", "id_row", "doc_id", "n", "grams", "middle_grams"))
     union = F.col("n") + F.col("c_n") - F.col("overlap")
     core = 100 * F.col("overlap") >= percent * union
     ring = 100 * (union - F.col("overlap")) <= 2 * (100 - percent) * union  # distance to the middle at most twice the limit
@@ -270,7 +298,7 @@ def group_edges(groups: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     core_with_rings = every("rings", lambda i: row_of(-1 - piece("cores"), i))
     where = F.when(F.col("role") == "core", core_with_rings).when(F.col("role") == "ring", F.concat(with_others, ring_with_cores)).otherwise(with_others)
     dealt = near.select("middle", "id_row", "doc_id", F.explode(where).alias("_t")).select("middle", "id_row", "doc_id", "_t.i", "_t.j")
-    rest = dealt.join(grams.select("id_row", "doc_id", "grams"), ["id_row", "doc_id"]).select("middle", "i", "j", "doc_id", "grams")
+    rest = dealt.join(grams.select("id_row", "doc_id", "grams"), ["id_row", "doc_id"])
     return edges.unionByName(star).unionByName(product(rest, percent))
 
 
@@ -281,28 +309,9 @@ def similarity_classes(docs: DataFrame, words: int, percent: int, key: str = "do
     classes = some.groupBy("row").agg(F.min("doc_id").alias("first"), F.max("id_row").alias("id_row"))
     classes = stored(classes, "classes")
     groups = middles(meeting_rows(some))
-    members = groups.select("id_row").distinct()
-    wanted = stored(classes.join(members, "id_row", "left_semi").select("id_row", F.col("first").alias("doc_id"), "row"), "wanted")
+    groups = groups.join(classes.select("id_row", F.col("first").alias("doc_id")), "id_row")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-
-    def work():
-        def compute(columns: list[pa.Array]) -> list[pa.Array]:
-            sets = shingle_sets(columns[0].cast(pa.binary()).to_pylist(), words)
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            return [
-                pa.array(digests, pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ]
-
-        return compute
-
-    found = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    fields = [StructField("row", BinaryType()), StructField("n", LongType()), StructField("grams", BinaryType())]
-    grams = add_columns(found, [F.col("text")], fields, work, ["doc_id"])
-    grams = grams.join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
-    grams = stored(grams.select("id_row", "doc_id", "n", "grams"), "grams")
-    parts = stored(components(group_edges(groups, grams, percent)), "parts")
+    parts = stored(components(group_edges(groups, texts, words, percent)), "parts")
     named = classes.join(parts, classes["first"] == parts["node"], "left")
     named = stored(named.select("row", F.coalesce("component", "first").alias("component_id")), "named")
     return rows.select("doc_id", "n_shingles", "row").join(named, "row", "left").select(
