@@ -37,6 +37,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from duelframe.llm.common import add_columns, forget, stored, whole_text
 
 LENGTH, SEED = 400, 128
+#: Anchors of one seed that are judged in one task; more are judged by rounds of names.
+LOCAL = 1_024
+#: Rows a task judges together, and group size from which it sorts instead of comparing.
+TOGETHER, SORTED = 2_048, 24
 #: Batches that one table is indexed in, and parts of a range of starts per round.
 BATCHES, PARTS = 2, 8
 SUFFIX = ["seed", "reach", "rid", "pos"]
@@ -200,6 +204,94 @@ def split(low: Column, high: Column, parts: int) -> Column:
     )
 
 
+class Judge:
+    """Finds the strings around anchors that stand around another anchor of the seed too."""
+
+    def __init__(self, length: int, seed: int):
+        self.length, self.left = length, length - seed
+        self.wide = self.left + length
+        random = np.random.default_rng(2)
+        self.letters = random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        base = 0xD1342543DE82EF95
+        self.up = np.array([pow(base, i, 1 << 64) for i in range(self.wide)], np.uint64)
+        self.down = np.array([pow(base, -i, 1 << 64) for i in range(self.left + 1)], np.uint64)
+
+    def repeated(self, seeds: np.ndarray, lefts: np.ndarray, bodies: list[bytes]) -> np.ndarray:
+        """[row, c]: whether the string starting left - c bytes before the anchor repeats.
+        Rows are in seed order."""
+        n = len(seeds)
+        sizes = np.fromiter(map(len, bodies), np.int64, n)
+        rows = np.zeros(n * self.wide, np.uint8)
+        first = self.left - lefts
+        begins = np.cumsum(sizes) - sizes
+        rows[np.arange(int(sizes.sum())) + np.repeat(np.arange(n) * self.wide + first - begins, sizes)] = np.frombuffer(b"".join(bodies), np.uint8)
+        sums = np.zeros((n, self.wide + 1), np.uint64)
+        np.cumsum(self.letters[rows.reshape(n, -1)] * self.up, axis=1, out=sums[:, 1:])
+        names = (sums[:, self.length :] - sums[:, : self.left + 1]) * self.down
+        at = np.arange(self.left + 1)
+        valid = (at >= first[:, None]) & (at + self.length <= (first + sizes)[:, None])
+        out = np.zeros(valid.shape, bool)
+        starts = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
+        group = np.diff(np.append(starts, n))
+        own = np.repeat(group, group)
+        for k in range(1, min(int(group.max()), SORTED)):
+            i = np.flatnonzero((seeds[:-k] == seeds[k:]) & (own[k:] < SORTED))
+            same = (names[i] == names[i + k]) & valid[i] & valid[i + k]
+            out[i] |= same
+            out[i + k] |= same
+        for start, size in zip(starts[group >= SORTED].tolist(), group[group >= SORTED].tolist(), strict=True):
+            part, good = names[start : start + size], valid[start : start + size]
+            order = np.lexsort((part, ~good), axis=0)
+            part, good = np.take_along_axis(part, order, 0), np.take_along_axis(good, order, 0)
+            same = (part[1:] == part[:-1]) & good[1:] & good[:-1]
+            twin = np.zeros(part.shape, bool)
+            twin[1:] |= same
+            twin[:-1] |= same
+            np.put_along_axis(out[start : start + size], order, twin, 0)
+        return out
+
+    def ranges(self, seeds, lefts, bodies, open_) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, low, high) of the open rows."""
+        rep = self.repeated(seeds, lefts, bodies) & open_[:, None]
+        edge = np.diff(np.pad(rep, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, begin = np.nonzero(edge == 1)
+        _, end = np.nonzero(edge == -1)
+        return row, self.left - end + 1, self.left - begin
+
+
+def judge_together(contexts: DataFrame, length: int, seed: int) -> DataFrame:
+    """As `refine`, for seeds of no more than `LOCAL` anchors: all of a seed in one task."""
+    columns = ["seed", "rid", "pos", "open", "left", "body"]
+    dealt = contexts.select(*columns).repartition("seed").sortWithinPartitions("seed", "rid", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(length, seed)
+
+        def judged(rows: pa.RecordBatch) -> pa.RecordBatch:
+            row, low, high = judge.ranges(
+                rows.column(0).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_pylist(),
+                rows.column(3).to_numpy(zero_copy_only=False),
+            )
+            at = pa.array(row)
+            found = [rows.column(1).take(at), rows.column(2).take(at), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(found, names=["rid", "pos", "low", "high"])
+
+        held = None
+        for batch in batches:
+            for first in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(first, TOGETHER)
+                rows = rows if held is None else pa.concat_batches([held, rows])
+                seeds = rows.column(0).to_numpy()
+                done = int(np.searchsorted(seeds, seeds[-1]))  # the last seed may go on
+                if done:
+                    yield judged(rows.slice(0, done))
+                held = rows.slice(done)
+        if held is not None and held.num_rows:
+            yield judged(held)
+
+    return dealt.mapInArrow(run, "rid long, pos int, low int, high int")
+
+
 def refine(contexts: DataFrame, length: int, seed: int) -> DataFrame:
     """(rid, pos, low, high): ranges of starts before an anchor whose strings all repeat.
 
@@ -262,40 +354,45 @@ def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEE
     every = stored(suffixes(docs, text, length, seed), "anchors")
     texts = every.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("_n"), F.max("n_bytes").alias("n_bytes"))
     texts = stored(texts.select("key", "rid", "n_bytes", (F.col("_n") > 1).alias("whole")), "texts")
-    one = every.select("rid", F.arrays_zip("seed", "reach", "pos").alias("_a")).join(texts.select("rid"), "rid")
-    one = one.withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
-    one = stored(one.select("batch", "rid", F.explode("_a").alias("_a")).select("batch", "rid", "_a.seed", "_a.reach", "_a.pos"), "suffixes")
-    forget(docs.sparkSession, every)
+    one = every.select("rid", F.explode(F.arrays_zip("seed", "reach", "pos")).alias("_a")).select("rid", "_a.*")
     family = IndexFamily()
     for batch in range(batches):
-        family.add(one.where(F.col("batch") == batch))
-    forget(docs.sparkSession, one)
+        family.add(one.where(F.pmod(F.xxhash64("rid"), F.lit(batches)) == batch))
+    forget(docs.sparkSession, every)
 
-    twins = stored(family.twins().join(texts.select("rid", "whole"), "rid"), "marks")
+    # One copy of each text goes on: the others' suffixes leave by this join.
+    twins = stored(family.twins().hint("shuffle_merge").join(texts.select("rid", "whole"), "rid"), "marks")
     reaches = twins.where("reach <> 0").groupBy("seed", "reach")
     reaches = reaches.agg(F.count("*").alias("_n"), F.min(F.struct("rid", "pos")).alias("_one"), F.max("whole").alias("_w"))
     reaches = stored(reaches.where("_n > 1 or _w").select("seed", "reach", "_one"), "reaches")
-    marks = stored(twins.join(reaches, ["seed", "reach"], "left"), "judged")
+    marks = stored(twins.hint("shuffle_merge").join(reaches, ["seed", "reach"], "left"), "judged")
     full = marks.where("not whole and _one is not null").select("rid", "pos", F.lit(0).alias("low"), F.lit(length - seed).alias("high"))
     open_ = ~F.col("whole") & F.col("_one").isNull()
     partner = F.when(F.col("reach") != 0, F.struct("rid", "pos") == F.col("_one")).otherwise(F.col("whole"))
     wanted = marks.where(open_ | partner).select("rid", "pos", "seed", open_.alias("open"))
     seeds = wanted.groupBy("seed").agg(F.count("*").alias("_n"), F.max("open").alias("_o"))
-    seeds = stored(seeds.where("_n > 1 and _o").select("seed"), "seeds")
-    wanted = wanted.join(seeds, "seed", "left_semi")
-    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("pos", "seed", "open")).alias("places"))
+    seeds = stored(seeds.where("_n > 1 and _o").select("seed", (F.col("_n") > LOCAL).alias("hot")), "seeds")
+    wanted = wanted.hint("shuffle_merge").join(seeds, "seed")
+    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("pos", "seed", "open", "hot")).alias("places"))
     places = places.unionByName(full.select("rid").distinct().withColumn("places", F.array().cast(places.schema["places"].dataType)))
     places = places.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("places"))
     bodies = docs.select(text.cast("binary").alias("body")).where(F.octet_length("body") >= length)
     bodies = bodies.withColumn("key", F.unhex(F.md5("body"))).hint("shuffle_merge")
     marked = bodies.join(places.join(texts, "rid").select("key", "rid", "whole", "places"), "key")
-    marked = stored(marked, "marked")
+    marked = stored(marked.withColumn("copy", F.monotonically_increasing_id()), "marked")
+    # A text that is not whole has one copy. Of the others' copies one serves as partner.
+    first = marked.where("whole").groupBy("rid").agg(F.min("copy").alias("copy"))
+    partners = marked.where("whole").join(stored(first, "first"), ["rid", "copy"], "left_semi")
 
-    around = marked.select("rid", "body", F.explode("places").alias("_p")).select("rid", "body", "_p.*")
+    around = marked.where("not whole").unionByName(partners)
+    around = around.select("rid", "body", F.explode("places").alias("_p")).select("rid", "body", "_p.*")
     left = F.least(F.col("pos"), F.lit(length - seed))
     context = F.substring("body", F.col("pos") - left + 1, left + length)
-    contexts = around.select("rid", "pos", "seed", "open", left.alias("left"), context.alias("body")).dropDuplicates(["rid", "pos"])
-    ranges = refine(stored(contexts, "contexts"), length, seed).unionByName(full)
+    contexts = around.select("rid", "pos", "seed", "open", "hot", left.alias("left"), context.alias("body"))
+    ranges = stored(judge_together(contexts.where("not hot"), length, seed), "spans").unionByName(full)
+    hot = contexts.where("hot").drop("hot")
+    if not seeds.where("hot").isEmpty():
+        ranges = ranges.unionByName(refine(stored(hot, "contexts"), length, seed))
     spans = ranges.groupBy("rid").agg(
         F.collect_list((F.col("pos") - F.col("high")).cast("long")).alias("starts"),
         F.collect_list((F.col("pos") - F.col("low") + length).cast("long")).alias("ends"),
@@ -315,7 +412,7 @@ def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEE
         return compute
 
     fields = [StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())]
-    once = marked.where("not whole").select("rid", "key", "body").join(spans, "rid")
+    once = marked.where("not whole").select("rid", "key", "body").hint("shuffle_merge").join(spans, "rid")
     cut = add_columns(once, [F.col("body"), F.col("starts"), F.col("ends")], fields, work, ["key"]).dropDuplicates(["key"])
     gone = texts.where("whole").select("key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     return stored(cut.unionByName(gone), "cuts")
@@ -327,7 +424,7 @@ def judged(docs: DataFrame, columns: list[Column], length: int = LENGTH, text: s
     body = whole_text(text)
     cuts = repeats(docs, body, length)
     keyed = docs.select(*columns, text_key(body).alias("key"))
-    return keyed.join(cuts, "key", "left").withColumns(
+    return keyed.hint("shuffle_merge").join(cuts, "key", "left").withColumns(
         {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_removed", "n_spans")}
     )
 
@@ -335,9 +432,9 @@ def judged(docs: DataFrame, columns: list[Column], length: int = LENGTH, text: s
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with its repeated bytes cut out of `text`. Bytes that a cut leaves of a broken
     character are dropped, since a string cannot hold them."""
-    found = judged(docs, [F.col(f"`{c}`") for c in docs.columns], length)
-    clean = F.when(F.col("kept").isNull(), F.col("text")).otherwise(valid_text(F.col("kept")))
-    return found.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = judged(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")], length)
+    clean = F.when(F.col("kept").isNull(), F.col("_row.text")).otherwise(valid_text(F.col("kept")))
+    return found.select(F.col("_row").withField("text", clean).alias("_row")).select("_row.*")
 
 
 def valid_text(body: Column) -> Column:
