@@ -168,7 +168,9 @@ class IndexFamily:
 
     def __init__(self):
         self.levels: dict[int, DataFrame] = {}
-        self.found: list[DataFrame] = []
+        #: Twins inside each level, and those between a batch and a level it was not merged with.
+        self.inside: dict[int, DataFrame] = {}
+        self.across: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
         """Index a batch of suffixes and note those whose seed is there twice."""
@@ -178,21 +180,24 @@ class IndexFamily:
             chain.append(self.levels.pop(rank))
             rank += 1
         for level in self.levels.values():  # of other ranks: scanned, not merged
-            self.found.append(stored(twin_seeds(sorted_array(array.unionByName(level))), "twins"))
+            self.across.append(stored(twin_seeds(sorted_array(array.unionByName(level))), "twins"))
         for level in chain:
             merged = stored(sorted_array(array.unionByName(level)), "suffixes")
             forget(batch.sparkSession, array, level)
             array = merged
-        self.found.append(stored(twin_seeds(array), "twins"))
+        # What the merged arrays held of twins, the scan of the new one finds again.
+        forget(batch.sparkSession, *[self.inside.pop(r) for r in range(rank)])
+        self.inside[rank] = stored(twin_seeds(array), "twins")
         self.levels[rank] = array
 
     def twins(self) -> DataFrame:
         """Suffixes whose seed stands somewhere else too, as far as parts of one task tell:
         the ends of a task's part are among them without proof."""
-        out = self.found[0]
-        for more in self.found[1:]:
+        first, *rest = [*self.inside.values(), *self.across]
+        out = first
+        for more in rest:
             out = out.unionByName(more)
-        return out.distinct() if len(self.found) > 1 else out
+        return out.distinct() if rest else out
 
 
 def split(low: Column, high: Column, parts: int) -> Column:
