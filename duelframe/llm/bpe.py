@@ -15,11 +15,13 @@ import functools
 import heapq
 import itertools
 import json
+import os
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
@@ -427,6 +429,27 @@ def gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.repeat(begins - (ends - counts), counts) + np.arange(total)]
 
 
+class LibraryBpe(WordBpe):
+    """The same, but each word that is not known yet is encoded by the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+        super().__init__(path)
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+
+
+@functools.lru_cache(maxsize=2)
+def library_vocabulary(path: str) -> LibraryBpe:
+    return LibraryBpe(path)
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> WordBpe:
     """The vocabulary at `path`, read once per Python worker."""

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.bpe import vocabulary
+from duelframe.llm.bpe import library_vocabulary
 from duelframe.llm.common import by_bytes, stored, whole_text
 
 #: Tokens in a shard, at least, unless a task's documents end before.
@@ -150,13 +150,13 @@ SHARDS = (
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode `text` of `docs` with the vocabulary at `path`, append `end_id` to each
+    """Encode `text` of `docs` with the tokenizers library and the vocabulary at `path`, append `end_id` to each
     document, and store the ids in ascending `doc_id` order; the stored table of shards."""
     ordered = docs.select("doc_id", whole_text().alias("text")).repartitionByRange("doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = vocabulary(path)
+        model = library_vocabulary(path)
         bits = max(end_id, len(model.tokens) - 1).bit_length()
         part, shard = TaskContext.get().partitionId(), 0
         ids, lengths, held, total = [], [], [], 0
