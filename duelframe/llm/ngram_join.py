@@ -6,7 +6,10 @@ at most (a + b)(1 - t)/(1 + t) columns. Columns are therefore cut into more bloc
 that, by hash and size class: linked rows are equal in at least one block, and a row of
 the candidate table is (block's content, document).
 
-Rows that meet are gathered around the one that meets most others, and each such group is
+Rows that meet are gathered around the one that meets most others. How many columns each
+row has in some hundred buckets bounds the overlap of two rows from above; a group falls
+apart into the parts that this bound, set against the one that their sizes set, leaves
+together, and rows left alone go. Each part is then
 multiplied, block of columns by block of columns, adding up overlap counts; pairs below the
 bound that their sizes set are dropped, and what leaves the task is a spanning tree of the
 links, not the pairs. Groups above `GROUP` rows are first compared with their middle row
@@ -42,6 +45,9 @@ CLASS_RATIO = 1.3
 SLACK, WEAK = 0.06, 4
 #: Rows multiplied at once, and columns per block of the product.
 GROUP, COLUMNS = 1_024, 8_192
+#: Rows of a group held against each other by their bucket counts in one task (larger groups
+#: go on as they are), and the logarithm of the most buckets.
+SIFTED, MOST_BITS = 4_096, 12
 
 
 def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
@@ -71,14 +77,54 @@ def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
+def bucket_counts(row: np.ndarray) -> bytes:
+    """How many columns fall into each of 2, 4, 8, ... buckets, about half as many as columns;
+    modulo 16, two to a byte."""
+    bits = min(max(int(len(row) - 1).bit_length() - 1, 1), MOST_BITS)
+    counts = np.bincount((row >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15
+    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def folded(counts: bytes, width: int) -> np.ndarray:
+    """Bucket counts in `width` buckets, in the upper half of each byte, where they are
+    subtracted modulo 16."""
+    packed = np.frombuffer(counts, np.uint8)
+    flat = np.stack([packed << 4, packed & 240], axis=1).reshape(width, -1)
+    return flat.sum(axis=1, dtype=np.uint8)
+
+
+def bound_parts(sizes: np.ndarray, counts: list[bytes], percent: int) -> np.ndarray:
+    """A part number for each row, rows being in order of size. Rows in different parts cannot
+    reach the similarity: they differ in more columns than it allows, the difference being
+    no less than that of their bucket counts."""
+    part = np.arange(len(sizes))
+    width = np.array([2 * len(c) for c in counts])
+    ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    for level in np.unique(width):
+        own = np.flatnonzero(width == level)
+        first, last = own[0], max(ends[own].max(), own[-1] + 1)
+        table = np.stack([folded(c, level) for c in counts[first:last]])
+        for i in own.tolist():
+            others = np.arange(i + 1, ends[i])
+            others = others[part[others] != part[i]]
+            if not len(others):
+                continue
+            gaps = table[others - first] - table[i - first]
+            differ = np.abs(gaps.view(np.int8)).view(np.uint8).sum(axis=1, dtype=np.int64) >> 4
+            near = others[(100 + percent) * differ <= (100 - percent) * (sizes[others] + sizes[i])]
+            if len(near):
+                part[np.isin(part, part[near])] = part[i]
+    return part
+
+
 def short_digest(row: np.ndarray) -> int | None:
     """First half of a row's 128-bit digest."""
     return int.from_bytes(xxhash.xxh3_128_digest(row.tobytes())[:8], "little", signed=True) if len(row) else None
 
 
 def incidence(docs: DataFrame, text: Column, key: str, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, row, id_row, keys): the digest of each document's row, its first
-    half as a number, and its block keys."""
+    """(doc_id, n_shingles, row, id_row, counts, keys): the digest of each document's row, its
+    first half as a number, its bucket counts, and its block keys."""
 
     def work():
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
@@ -89,6 +135,7 @@ def incidence(docs: DataFrame, text: Column, key: str, words: int, percent: int)
                 pa.array([len(r) for r in rows], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([short_digest(r) for r in rows], pa.int64()),
+                pa.array([bucket_counts(r) if len(r) else None for r in rows], pa.binary()),
                 pa.array(keys, pa.list_(pa.int64())),
             ]
 
@@ -98,6 +145,7 @@ def incidence(docs: DataFrame, text: Column, key: str, words: int, percent: int)
         StructField("n_shingles", LongType()),
         StructField("row", BinaryType()),
         StructField("id_row", LongType()),
+        StructField("counts", BinaryType()),
         StructField("keys", ArrayType(LongType())),
     ]
     base = docs.select(F.col(key).cast("long").alias("doc_id"), text.alias("text"))
@@ -142,14 +190,52 @@ def meeting_rows(rows: DataFrame) -> DataFrame:
 
 
 def middles(meeting: DataFrame) -> DataFrame:
-    """(middle, id_row): each key's rows around the row that meets most others."""
+    """(middle, id_row, degree): each key's rows around the row that meets most others."""
     met = stored(meeting, "meeting")
     degree = met.groupBy("id_row").agg(F.count("*").alias("_d"))
     best = met.join(degree, "id_row").groupBy("key").agg(
         F.max(F.struct("_d", "id_row")).alias("_best"), F.min("id_row").alias("_low"), F.max("id_row").alias("_high")
     )
     best = stored(best.where("_low < _high").select("key", F.col("_best.id_row").alias("middle")), "middles")
-    return stored(met.join(best, "key").select("middle", "id_row").distinct(), "groups")
+    groups = met.join(best, "key").select("middle", "id_row").distinct()
+    return stored(groups.join(degree.withColumnRenamed("_d", "degree"), "id_row").select("middle", "id_row", "degree"), "groups")
+
+
+def sift(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(middle, id_row) of the parts of `groups` that bucket counts leave together, each around
+    its row of the highest degree. `classes` has the counts (id_row, n, counts)."""
+    sizes = groups.groupBy("middle").agg(F.count("*").alias("_rows"))
+    sized = groups.join(sizes, "middle")
+    large = sized.where(F.col("_rows") > SIFTED).select("middle", "id_row")
+    names = ["middle", "n", "id_row", "degree", "counts"]
+    dealt = sized.where(F.col("_rows") <= SIFTED).hint("shuffle_merge").join(classes, "id_row").select(*names)
+    dealt = dealt.repartition("middle").sortWithinPartitions("middle", "n", "id_row")
+
+    def parts(rows: list[tuple]) -> pa.RecordBatch:
+        n, ids, degree, counts = zip(*rows, strict=True)
+        ids, degree = np.array(ids), np.array(degree)
+        part = bound_parts(np.array(n), list(counts), percent)
+        order = np.lexsort((ids, degree, part))  # each part's last row has its highest degree
+        part, ids = part[order], ids[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        many = np.diff(np.append(starts, len(part)))
+        middle = np.repeat(ids[np.append(starts[1:], len(part)) - 1], many)
+        keep = np.repeat(many > 1, many)
+        return pa.RecordBatch.from_arrays([pa.array(middle[keep], pa.int64()), pa.array(ids[keep], pa.int64())], names=["middle", "id_row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+        for batch in batches:
+            for here, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != task:
+                    if len(rows) > 1:
+                        yield parts(rows)
+                    task, rows = here, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield parts(rows)
+
+    return stored(dealt.mapInArrow(run, "middle long, id_row long").unionByName(large).distinct(), "sifted")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -306,9 +392,11 @@ def similarity_classes(docs: DataFrame, words: int, percent: int, key: str = "do
     """(doc_id, n_shingles, component_id) of every row of `docs`: links reach `percent`."""
     rows = stored(incidence(docs, whole_text(text), key, words, percent), "incidence")
     some = rows.where("row is not null")
-    classes = some.groupBy("row").agg(F.min("doc_id").alias("first"), F.max("id_row").alias("id_row"))
+    classes = some.groupBy("row").agg(
+        F.min("doc_id").alias("first"), F.max("id_row").alias("id_row"), F.max("n_shingles").alias("n"), F.max("counts").alias("counts")
+    )
     classes = stored(classes, "classes")
-    groups = middles(meeting_rows(some))
+    groups = sift(middles(meeting_rows(some)), classes.select("id_row", "n", "counts"), percent)
     groups = groups.join(classes.select("id_row", F.col("first").alias("doc_id")), "id_row")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     parts = stored(components(group_edges(groups, texts, words, percent)), "parts")

@@ -262,6 +262,29 @@ def test_ngram_join(spark, monkeypatch, words, percent, group):
     assert sorted(map(tuple, got.collect())) == brute_components(texts, words, percent)
 
 
+def test_bucket_counts_part_no_linked_rows():
+    rng = np.random.default_rng(5)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    rows, passage = [], some(200)
+    for n in (1, 2, 3, 40, 64, 65, 300, 9_000):
+        base = some(n)
+        for share in (0, 0.05, 0.12, 0.5):
+            changed = int(n * share)
+            rows.append(np.unique(np.concatenate([base[changed:], some(changed)])))
+    rows += [np.unique(np.concatenate([passage, some(n)])) for n in (20, 200, 210, 220)]
+    rows.sort(key=len)
+    sizes = np.array([len(r) for r in rows])
+    part = ngram_join.bound_parts(sizes, [ngram_join.bucket_counts(r) for r in rows], 80)
+    apart = 0
+    for i, a in enumerate(rows):
+        for j in range(i):
+            both = len(np.intersect1d(a, rows[j]))
+            linked = 100 * both >= 80 * (len(a) + len(rows[j]) - both)
+            assert not linked or part[i] == part[j]
+            apart += both > 0 and part[i] != part[j]
+    assert apart > 10  # rows that share a passage only fall apart
+
+
 def test_ngram_join_without_ids_or_rows(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (None, "x y z"), (7, "q r s"), (7, "q r s")]
     got = ngram_join.similarity_classes(spark.createDataFrame(rows, DOCS), 3, 90).collect()
