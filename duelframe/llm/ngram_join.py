@@ -45,8 +45,8 @@ CLASS_RATIO = 1.3
 SLACK, WEAK = 0.06, 4
 #: Rows multiplied at once, and columns per block of the product.
 GROUP, COLUMNS = 1_024, 8_192
-#: Rows of a group held against each other by their bucket counts in one task (larger groups
-#: go on as they are), and the logarithm of the most buckets.
+#: Rows of a group held against each other by their bucket counts in one task, and the
+#: logarithm of the most buckets.
 SIFTED, MOST_BITS = 4_096, 12
 
 
@@ -93,27 +93,58 @@ def folded(counts: bytes, width: int) -> np.ndarray:
     return flat.sum(axis=1, dtype=np.uint8)
 
 
-def bound_parts(sizes: np.ndarray, counts: list[bytes], percent: int) -> np.ndarray:
-    """A part number for each row, rows being in order of size. Rows in different parts cannot
-    reach the similarity: they differ in more columns than it allows, the difference being
-    no less than that of their bucket counts."""
+def differing(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least number of columns in which rows i and j of `table` (folded counts) differ."""
+    weight = np.full(table.shape[1], 1 / 16, np.float32)
+    step = max(1, (1 << 22) // table.shape[1])
+    out = np.empty(len(i), np.float32)
+    for k in range(0, len(i), step):
+        gaps = table[i[k : k + step]] - table[j[k : k + step]]
+        out[k : k + step] = np.abs(gaps.view(np.int8)).view(np.uint8).astype(np.float32) @ weight
+    return out
+
+
+def meetings(keys: list[np.ndarray]) -> np.ndarray:
+    """Which two rows have a key in common."""
+    met = np.zeros((len(keys), len(keys)), bool)
+    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    many = np.diff(np.append(starts, len(flat)))
+    two = starts[many == 2]
+    met[owner[two], owner[two + 1]] = True
+    for start, n in zip(starts[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+        rows = owner[start : start + n]
+        met[np.ix_(rows, rows)] = True
+    return met
+
+
+def bound_parts(sizes: np.ndarray, counts: list[bytes], keys: list[np.ndarray], percent: int) -> np.ndarray:
+    """A part number for each row, rows being in order of size. Rows with a key in common lie in
+    different parts only if they cannot reach the similarity: they differ in more columns
+    than it allows, the difference being no less than that of their bucket counts. A quarter
+    of the buckets is tried first."""
     part = np.arange(len(sizes))
     width = np.array([2 * len(c) for c in counts])
     ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    met = meetings(keys)
     for level in np.unique(width):
         own = np.flatnonzero(width == level)
         first, last = own[0], max(ends[own].max(), own[-1] + 1)
-        table = np.stack([folded(c, level) for c in counts[first:last]])
-        for i in own.tolist():
-            others = np.arange(i + 1, ends[i])
-            others = others[part[others] != part[i]]
-            if not len(others):
-                continue
-            gaps = table[others - first] - table[i - first]
-            differ = np.abs(gaps.view(np.int8)).view(np.uint8).sum(axis=1, dtype=np.int64) >> 4
-            near = others[(100 + percent) * differ <= (100 - percent) * (sizes[others] + sizes[i])]
-            if len(near):
-                part[np.isin(part, part[near])] = part[i]
+        fine = np.stack([folded(c, level) for c in counts[first:last]])
+        coarse = fine.reshape(last - first, max(level // 4, 1), -1).sum(axis=2, dtype=np.uint8)
+        for start in range(first, own[-1] + 1, 64):
+            i, j = np.nonzero(met[start : min(start + 64, own[-1] + 1), :last])
+            i += start
+            for table in (None, coarse, fine):
+                if table is None:
+                    keep = (j > i) & (j < ends[i]) & (part[i] != part[j])
+                else:
+                    keep = (100 + percent) * differing(table, i - first, j - first) <= (100 - percent) * (sizes[i] + sizes[j])
+                i, j = i[keep], j[keep]
+            for k in np.unique(i).tolist():
+                part[np.isin(part, part[j[i == k]])] = part[k]
     return part
 
 
@@ -190,31 +221,41 @@ def meeting_rows(rows: DataFrame) -> DataFrame:
 
 
 def middles(meeting: DataFrame) -> DataFrame:
-    """(middle, id_row, degree): each key's rows around the row that meets most others."""
+    """(middle, id_row, met, degree): each key's rows around the row that meets most others,
+    with the keys through which each belongs there, no more than the row has."""
     met = stored(meeting, "meeting")
     degree = met.groupBy("id_row").agg(F.count("*").alias("_d"))
     best = met.join(degree, "id_row").groupBy("key").agg(
         F.max(F.struct("_d", "id_row")).alias("_best"), F.min("id_row").alias("_low"), F.max("id_row").alias("_high")
     )
     best = stored(best.where("_low < _high").select("key", F.col("_best.id_row").alias("middle")), "middles")
-    groups = met.join(best, "key").select("middle", "id_row").distinct()
-    return stored(groups.join(degree.withColumnRenamed("_d", "degree"), "id_row").select("middle", "id_row", "degree"), "groups")
+    groups = met.join(best, "key").groupBy("middle", "id_row").agg(F.collect_list("key").alias("met"))
+    return stored(groups.join(degree.withColumnRenamed("_d", "degree"), "id_row").select("middle", "id_row", "met", "degree"), "groups")
 
 
 def sift(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(middle, id_row) of the parts of `groups` that bucket counts leave together, each around
-    its row of the highest degree. `classes` has the counts (id_row, n, counts)."""
-    sizes = groups.groupBy("middle").agg(F.count("*").alias("_rows"))
-    sized = groups.join(sizes, "middle")
-    large = sized.where(F.col("_rows") > SIFTED).select("middle", "id_row")
-    names = ["middle", "n", "id_row", "degree", "counts"]
-    dealt = sized.where(F.col("_rows") <= SIFTED).hint("shuffle_merge").join(classes, "id_row").select(*names)
-    dealt = dealt.repartition("middle").sortWithinPartitions("middle", "n", "id_row")
+    its row of the highest degree. `classes` has the counts (id_row, n, counts). A group above
+    SIFTED rows is dealt by bands of size (linked rows lie in one band or in neighbours), a
+    band above that in pairs of pieces."""
+    task = ["middle", "band", "i", "j"]
+    found = groups.hint("shuffle_merge").join(classes.select("id_row", "n"), "id_row")
+    found = found.join(groups.groupBy("middle").agg(F.count("*").alias("_rows")), "middle")
+    band = F.floor(F.log("n") / math.log(101 / percent)).cast("long")
+    bands = F.when(F.col("_rows") <= SIFTED, F.array(F.lit(-1).cast("long"))).otherwise(F.array(band, band + 1))
+    found = stored(found.select("middle", "id_row", "met", "degree", F.explode(bands).alias("band")), "banded")
+    pieces = F.when(F.count("*") > SIFTED, F.ceil(F.count("*") / (SIFTED // 2))).otherwise(1).cast("long")
+    found = found.join(found.groupBy("middle", "band").agg(pieces.alias("_pieces")), ["middle", "band"])
+    own = F.pmod("id_row", "_pieces")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    found = found.withColumn("_t", F.explode(pairs)).select("middle", "band", "_t.i", "_t.j", "id_row", "met", "degree")
+    dealt = found.hint("shuffle_merge").join(classes, "id_row").select(*task, "n", "id_row", "met", "degree", "counts")
+    dealt = dealt.repartition(*task).sortWithinPartitions(*task, "n", "id_row")
 
     def parts(rows: list[tuple]) -> pa.RecordBatch:
-        n, ids, degree, counts = zip(*rows, strict=True)
+        n, ids, keys, degree, counts = zip(*rows, strict=True)
         ids, degree = np.array(ids), np.array(degree)
-        part = bound_parts(np.array(n), list(counts), percent)
+        part = bound_parts(np.array(n), list(counts), [np.array(k) for k in keys], percent)
         order = np.lexsort((ids, degree, part))  # each part's last row has its highest degree
         part, ids = part[order], ids[order]
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -226,16 +267,16 @@ def sift(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows = None, []
         for batch in batches:
-            for here, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *here, n, row, met, degree, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != task:
                     if len(rows) > 1:
                         yield parts(rows)
                     task, rows = here, []
-                rows.append(row)
+                rows.append((n, row, met, degree, counts))
         if len(rows) > 1:
             yield parts(rows)
 
-    return stored(dealt.mapInArrow(run, "middle long, id_row long").unionByName(large).distinct(), "sifted")
+    return stored(dealt.mapInArrow(run, "middle long, id_row long").distinct(), "sifted")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -248,6 +248,7 @@ def brute_components(texts, words, percent):
 @pytest.mark.parametrize(("words", "percent", "group"), [(3, 90, 1024), (5, 80, 4)])
 def test_ngram_join(spark, monkeypatch, words, percent, group):
     monkeypatch.setattr(ngram_join, "GROUP", group)  # 4: also by way of the middle row
+    monkeypatch.setattr(ngram_join, "SIFTED", group)  # 4: also in bands and pieces
     rng = random.Random(7)
     base = [prose(rng, n) for n in (3, 8, 30, 60, 120, 400)]
     texts = [None, "", " \n", "one", "ONE", "one two", "é É", *base]
@@ -274,7 +275,7 @@ def test_bucket_counts_part_no_linked_rows():
     rows += [np.unique(np.concatenate([passage, some(n)])) for n in (20, 200, 210, 220)]
     rows.sort(key=len)
     sizes = np.array([len(r) for r in rows])
-    part = ngram_join.bound_parts(sizes, [ngram_join.bucket_counts(r) for r in rows], 80)
+    part = ngram_join.bound_parts(sizes, [ngram_join.bucket_counts(r) for r in rows], [np.array([1])] * len(rows), 80)
     apart = 0
     for i, a in enumerate(rows):
         for j in range(i):
