@@ -90,11 +90,12 @@ def add_columns(
                     a.cast(target.field(width + i).type) for i, a in enumerate(made)
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return sent.mapInArrow(run, schema)
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes, so that memory follows bytes, not rows."""
     rows = batch.num_rows
     if not rows:
