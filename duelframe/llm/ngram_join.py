@@ -78,9 +78,9 @@ def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bucket_counts(row: np.ndarray) -> bytes:
-    """How many columns fall into each of 2, 4, 8, ... buckets, about half as many as columns;
-    modulo 16, two to a byte."""
-    bits = min(max(int(len(row) - 1).bit_length() - 1, 1), MOST_BITS)
+    """How many columns fall into each of 2, 4, 8, ... buckets, an eighth to a quarter as many
+    as columns; modulo 16, two to a byte."""
+    bits = min(max(int(len(row) - 1).bit_length() - 3, 1), MOST_BITS)
     counts = np.bincount((row >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15
     return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
 
@@ -123,8 +123,7 @@ def meetings(keys: list[np.ndarray]) -> np.ndarray:
 def bound_parts(sizes: np.ndarray, counts: list[bytes], keys: list[np.ndarray], percent: int) -> np.ndarray:
     """A part number for each row, rows being in order of size. Rows with a key in common lie in
     different parts only if they cannot reach the similarity: they differ in more columns
-    than it allows, the difference being no less than that of their bucket counts. A quarter
-    of the buckets is tried first."""
+    than it allows, the difference being no less than that of their bucket counts."""
     part = np.arange(len(sizes))
     width = np.array([2 * len(c) for c in counts])
     ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
@@ -132,17 +131,14 @@ def bound_parts(sizes: np.ndarray, counts: list[bytes], keys: list[np.ndarray],
     for level in np.unique(width):
         own = np.flatnonzero(width == level)
         first, last = own[0], max(ends[own].max(), own[-1] + 1)
-        fine = np.stack([folded(c, level) for c in counts[first:last]])
-        coarse = fine.reshape(last - first, max(level // 4, 1), -1).sum(axis=2, dtype=np.uint8)
+        table = np.stack([folded(c, level) for c in counts[first:last]])
         for start in range(first, own[-1] + 1, 64):
             i, j = np.nonzero(met[start : min(start + 64, own[-1] + 1), :last])
             i += start
-            for table in (None, coarse, fine):
-                if table is None:
-                    keep = (j > i) & (j < ends[i]) & (part[i] != part[j])
-                else:
-                    keep = (100 + percent) * differing(table, i - first, j - first) <= (100 - percent) * (sizes[i] + sizes[j])
-                i, j = i[keep], j[keep]
+            open_ = (j > i) & (j < ends[i]) & (part[i] != part[j])
+            i, j = i[open_], j[open_]
+            near = (100 + percent) * differing(table, i - first, j - first) <= (100 - percent) * (sizes[i] + sizes[j])
+            i, j = i[near], j[near]
             for k in np.unique(i).tolist():
                 part[np.isin(part, part[j[i == k]])] = part[k]
     return part
