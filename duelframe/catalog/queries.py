@@ -500,14 +500,12 @@ def training_features(spark, sf):
     return feature_plan.build_features(_training_base(spark, sf))
 
 
-SMALL_TREES = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 26, "seed": 42}
-
-
 def _trained(spark, sf):
+    """Both variants with the operator's own parameters, on all labelled rows."""
     matches, ratings, mh = load(spark, sf, "matches", "elo_history", "match_history")
     base = feature_plan.build_base(matches, match_history=mh, rating_history=ratings)
     table = feature_plan.build_features(base, windows=(K.HISTORY_WINDOW,), scopes=("ovr",))
-    return table, train_and_compare(table, SMALL_TREES)
+    return table, train_and_compare(table, K.BOOSTING)
 
 
 @query

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelframe import constants as K
+from duelframe.catalog import queries
 from duelframe.operators import evaluate, modelling, report
+from duelframe.plans import train as train_plan
 from duelframe.plans.predict import predict_coming
 from duelframe.plans.train import train_and_compare
 from duelframe.sources import readers, writers
@@ -141,6 +143,25 @@ def test_training_and_comparison(trained):
     assert ids["A"] == ids["B"]
 
 
+def test_training_queries_fit_the_whole_job(spark, monkeypatch):
+    class Fitting(Exception):
+        pass
+
+    def fit(train, names, params):
+        raise Fitting(train.count(), params)
+
+    table = feature_table(spark)
+    monkeypatch.setattr(queries, "load", lambda *_: (None, None, None))
+    monkeypatch.setattr(queries.feature_plan, "build_base", lambda *_, **__: None)
+    monkeypatch.setattr(queries.feature_plan, "build_features", lambda *_, **__: table)
+    monkeypatch.setattr(train_plan, "fit_result", fit)
+    labelled = modelling.min_history(table).filter("season < '2016'").count()
+    for name in ("train_and_score", "train_comparison", "predict_coming_matches"):
+        with pytest.raises(Fitting) as seen:
+            queries.PLAIN[name](spark, "")
+        assert seen.value.args == (labelled, K.BOOSTING)
+
+
 def test_saved_models_predict_the_same(spark, trained, tmp_path):
     writers.write_model(trained.result_model, f"{tmp_path}/r")
     writers.write_model(trained.over_model, f"{tmp_path}/o")
