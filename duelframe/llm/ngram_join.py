@@ -433,7 +433,8 @@ def similarity_classes(docs: DataFrame, words: int, percent: int, key: str = "do
         F.min("doc_id").alias("first"), F.max("id_row").alias("id_row"), F.max("n_shingles").alias("n"), F.max("counts").alias("counts")
     )
     classes = stored(classes, "classes")
-    groups = sift(middles(meeting_rows(some)), classes.select("id_row", "n", "counts"), percent)
+    # Rows without an id meet nobody: an equal row with one has the same keys, and a middle needs an id.
+    groups = sift(middles(meeting_rows(some.where("doc_id is not null"))), classes.select("id_row", "n", "counts"), percent)
     groups = groups.join(classes.select("id_row", F.col("first").alias("doc_id")), "id_row")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     parts = stored(components(group_edges(groups, texts, words, percent)), "parts")

@@ -293,6 +293,20 @@ def test_ngram_join_without_ids_or_rows(spark):
     assert ngram_join.similarity_classes(docs_of(spark, ["x"]).limit(0), 3, 90).count() == 0
 
 
+def test_ngram_join_around_a_row_without_id(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 4)  # by way of the middle row
+    rng = random.Random(11)
+    base = prose(rng, 200).split()
+    rows = [(None, " ".join(base))]  # meets most of the others
+    for i in range(12):
+        w = list(base)
+        w[15 * i + 8] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    table = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(table, 3, 90).collect()}
+    assert got == {i: 0 for i in range(12)} | {None: None}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
