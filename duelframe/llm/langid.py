@@ -6,7 +6,9 @@ pieces per letter, weighed by the log of the sample's length, the closer the lan
 automaton with restarts is one transition table, so that thousands of text segments step
 through it together.
 
-Text is lower-cased, runs of anything but letters are one blank. Long texts are parsed in
+Text is lower-cased, runs of anything but letters are one blank. Every letter of the
+samples is told apart: where one symbol each does not reach, a letter is written in two or
+three, each from a range of its own. Long texts are parsed in
 segments of `SEGMENT` symbols, all of them; a segment ends a piece. Null text and text
 without a letter are `und` with score 0. Of languages that need equally many pieces, the
 alphabetically first wins. Repeated rows get equal answers.
@@ -31,6 +33,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LETTERS = 100, 2_000, 40_000
 SEGMENT = 256
 #: Symbols: none (after a segment's end), blank, letters outside the samples, then letters.
 NONE, BLANK, STRANGE = 0, 1, 2
+#: Symbols that letters are written in, at most.
+MOST_SYMBOLS = 255 - STRANGE
 
 
 @dataclass
@@ -89,18 +93,32 @@ def restarting(table: np.ndarray) -> np.ndarray:
     return out.astype(np.int32).ravel()
 
 
-def symbols_of(text: str, table: np.ndarray) -> np.ndarray:
-    """Symbols of the text, runs of blanks made one."""
+def symbols_of(text: str, table: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Symbols of the text, or of its first `most` letters and blanks, runs of blanks made one."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     found = table[points]
-    return found[np.append(True, (found[1:] != BLANK) | (found[:-1] != BLANK))[: len(found)]]
+    blank = found[:, 0] == BLANK
+    found = found[np.append(True, ~blank[1:] | ~blank[:-1])[: len(found)]][:most].ravel()
+    return found if table.shape[1] == 1 else found[found != NONE]
+
+
+def code_shape(letters: int) -> tuple[int, int]:
+    """How many symbols a letter is written in, and how many each place can have."""
+    width, base = 1, max(letters, 1)
+    while width * base > MOST_SYMBOLS:
+        width, base = width + 1, 1
+        while base**width < letters:
+            base += 1
+    return width, base
 
 
 def symbol_table(letters: str) -> np.ndarray:
-    """Symbol of each code point."""
-    table = np.fromiter((STRANGE if chr(i).isalpha() else BLANK for i in range(0x110000)), np.uint8, 0x110000)
+    """Symbols [code point, place] of each code point, filled up with NONE."""
+    width, base = code_shape(len(letters))
+    table = np.zeros((0x110000, width), np.uint8)
+    table[:, 0] = np.fromiter((STRANGE if chr(i).isalpha() else BLANK for i in range(0x110000)), np.uint8, 0x110000)
     for i, c in enumerate(letters):
-        table[ord(c)] = STRANGE + 1 + i
+        table[ord(c)] = [STRANGE + 1 + k * base + i // base ** (width - 1 - k) % base for k in range(width)]
     return table
 
 
@@ -116,13 +134,13 @@ def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id") -> Langua
     texts: dict[str, list[str]] = {}
     for row in sample:
         texts.setdefault(row.lang, []).append(row.text)
-    letters = sorted({c for t in texts.values() for x in t for c in x.lower() if c.isalpha()})
-    letters = "".join(letters[: 255 - STRANGE])
+    letters = "".join(sorted({c for t in texts.values() for x in t for c in x.lower() if c.isalpha()}))
     table = symbol_table(letters)
+    width, base = code_shape(len(letters))
     tables, weights = [], []
     for lang in sorted(texts):
-        symbols = symbols_of(" ".join(texts[lang]), table)[:SAMPLE_LETTERS].tolist()
-        tables.append(restarting(suffix_automaton(symbols, STRANGE + 1 + len(letters))))
+        symbols = symbols_of(" ".join(texts[lang]), table, SAMPLE_LETTERS).tolist()
+        tables.append(restarting(suffix_automaton(symbols, STRANGE + 1 + width * base)))
         weights.append(math.log2(len(symbols) + 1))
     return LanguageModel(sorted(texts), letters, tables, weights)
 

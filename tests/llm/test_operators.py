@@ -138,6 +138,26 @@ def test_language_by_cross_parsing(spark):
     assert {r["lang_pred"] for r in langid.identify(table, nothing).collect()} == {"und"}
 
 
+def test_languages_of_many_letters(spark):
+    rng = random.Random(8)
+    letters = {"aa": range(0x4E00, 0x5000), "bb": range(0x9000, 0x9800), "cc": range(0x9000, 0x9800), "dd": range(0x61, 0x7B)}
+    kinds = {lang: ["".join(chr(rng.choice(some)) for _ in range(3)) for _ in range(400)] for lang, some in letters.items()}
+    rows = [(i, " ".join(rng.choice(kinds[lang]) for _ in range(rng.randint(40, 200))), lang) for i in range(60) for lang in kinds]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table.where("doc_id < 40"))
+    got = langid.identify(table.where("doc_id >= 40"), model).collect()
+    assert len(got) == 80 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_letters_are_told_apart():
+    for n in (0, 1, 253, 254, 3_000, 20_000):
+        letters = "".join(sorted([chr(i) for i in range(0x110000) if chr(i).isalpha()][:n]))
+        table = langid.symbol_table(letters)
+        codes = {tuple(row) for row in table[[ord(c) for c in letters]].tolist()}
+        assert len(codes) == n and (n > 253) == (table.shape[1] > 1)
+        assert not codes & {(s, *[langid.NONE] * (table.shape[1] - 1)) for s in (langid.BLANK, langid.STRANGE)}
+
+
 def test_suffix_automaton_parses_greedily():
     text = [3, 4, 3, 3, 5, 4, 3, 4, 5, 5, 3]
     table = langid.suffix_automaton(text, 6)
