@@ -35,9 +35,13 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HINT = re.compile(r"[a-z]+")
 #: Elements whose content is not read as text, up to their end tag.
-SILENT = frozenset("script style title textarea noscript template iframe svg math object select button head".split())
+SILENT = frozenset("script style title textarea noscript template iframe svg select button".split())
 #: Of these, those whose content is raw: only their own end tag ends them.
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: Of these, those that stand in themselves.
+NESTED = frozenset("svg template".split())
+#: Elements that may stand in a head; any other one ends it, as text does.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -95,6 +99,7 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
     strings: list[str] | None = None
     linked = links = 0
     silent, silent_depth = "", 0
+    head = False
     at = 0
 
     def close() -> None:
@@ -106,8 +111,9 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
         strings, linked = None, 0
 
     def text(piece: str) -> None:
-        nonlocal strings, linked
-        if piece and not silent:
+        nonlocal strings, linked, head
+        head = head and (bool(silent) or not piece or piece.isspace())
+        if piece and not silent and not head:
             piece = html.unescape(piece) if "&" in piece else piece
             strings = strings or []
             strings.append(piece)
@@ -122,11 +128,15 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
         end = bool(token[1])
         if silent:
             if tag == silent:
-                silent_depth += -1 if end else silent not in RAW
+                silent_depth += -1 if end else silent in NESTED and not token[3].endswith("/")
                 silent = silent if silent_depth else ""
             continue
-        if tag in SILENT and not end:
-            if tag in RAW:
+        if head:
+            head = tag not in ("head", "body", "html", "br") if end else tag in IN_HEAD
+        if tag == "head" and not end:
+            head = True
+        elif (tag in SILENT or (head and tag == "noframes")) and not end:
+            if tag in RAW or tag == "noframes":
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
             elif not token[3].endswith("/"):

@@ -227,6 +227,19 @@ def test_page_text(spark):
     assert got[0] == (want, len(want)) and got[1] == ("", 0) and got[2] == ("", 0) and len(got) == 6
 
 
+def test_page_text_with_implied_ends():
+    def read(page):
+        return [" ".join("".join(s).split()) for _, s, _ in html_graph.parse(page, {}).runs]
+
+    start = "<html><head> <meta a=b><title>x</title><script>'<p>no'</script><template><p>no</template><noframes><p>no</noframes>\n"
+    for end in ("<body>", "</head><body>", "<body></head>", "", "</title>"):
+        assert read(start + end + "<article><p>One.</article>") == ["One."]
+    assert read(start + "One.<p>Two.") == ["One.", "Two."]
+    assert read("<p>a<svg><svg/><text>no</text></svg>b<svg><svg>no</svg>no</svg>c") == ["abc"]
+    assert read("<p>a<button>no<button>no</button>b") == ["ab"]
+    assert read("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <object data=f>this</object>") == ["if x=1 then this"]
+
+
 def test_marginals_are_exact():
     """Sum-product against summing over all labellings."""
     import itertools
