@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import bpe, decontaminate, html_graph, langid, lengths, ngram_join, rotated_codes, sharding, suffix_index, wavelet
+from duelframe.llm import (
+    bpe,
+    curriculum,
+    decontaminate,
+    filter_audit,
+    html_graph,
+    langid,
+    lengths,
+    merkle,
+    ngram_join,
+    oracles,
+    rotated_codes,
+    sharding,
+    suffix_index,
+    wavelet,
+)
 from duelframe.llm.common import read_table, whole_text
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +94,33 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(read_table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to their targets, in training order. `position` is a document's first
+    turn, null if it is not taken; `passes` is how often it is."""
+    key = F.col("doc_id")
+    mixed = curriculum.mix(read_table(spark, sf_dir, "documents"), key, F.col("source"), F.col("text"), {"doc_id": key})
+    first = F.get("takes", 0)["position"].alias("position")
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("takes").alias("passes"), first)
+    return out.orderBy("position")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and each row checked against its root after some texts were changed."""
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.col("text").cast("string")
+    found = F.when(changed, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    leaf = lambda body: merkle.leaf_hash([*map(F.col, ("doc_id", "source", "lang", "n_chars")), body])
+    keep = {"doc_id": F.col("doc_id"), "found_leaf": leaf(found)}
+    rows = merkle.manifest(read_table(spark, sf_dir, "documents"), F.col("source"), [F.col("doc_id")], leaf(text), keep)
+    out = rows.withColumns({"folded_root": merkle.fold(F.col("found_leaf"), F.col("path")), "proof_sha256": merkle.path_hash(F.col("path"))})
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,7 +134,10 @@ QUERIES = {
         op8_decontamination,
         op9_page_text,
         op10_ngram_join,
+        op11_mixing,
+        op12_filter_audit,
+        op13_merkle,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
