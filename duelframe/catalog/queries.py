@@ -500,27 +500,27 @@ def training_features(spark, sf):
     return feature_plan.build_features(_training_base(spark, sf))
 
 
-def _trained(spark, sf):
-    """Both variants with the operator's own parameters, on all labelled rows."""
+def _trained(spark, sf, variants):
+    """The variants with the operator's own parameters, on all labelled rows."""
     matches, ratings, mh = load(spark, sf, "matches", "elo_history", "match_history")
     base = feature_plan.build_base(matches, match_history=mh, rating_history=ratings)
     table = feature_plan.build_features(base, windows=(K.HISTORY_WINDOW,), scopes=("ovr",))
-    return table, train_and_compare(table, K.BOOSTING)
+    return table, train_and_compare(table, K.BOOSTING, variants=variants)
 
 
 @query
 def train_and_score(spark, sf):
-    _, trained = _trained(spark, sf)
+    _, trained = _trained(spark, sf, ("A",))
     return trained.scored["A"].select("match_id", "match_result", "result_pred", "p_h", "p_d", "p_a", "p_over")
 
 
 @query
 def train_comparison(spark, sf):
-    _, trained = _trained(spark, sf)
+    _, trained = _trained(spark, sf, ("A", "B"))
     return trained.report
 
 
 @query
 def predict_coming_matches(spark, sf):
-    table, trained = _trained(spark, sf)
+    table, trained = _trained(spark, sf, ("A",))
     return predict_coming(table, trained.result_model, trained.over_model, "1997-07-14")

@@ -139,14 +139,17 @@ BOOKMAKER_COLUMNS = {
     "odds_under": "Bookie_Under",
 }
 
-# Boosting parameters with a counterpart in Spark ML.
+# Boosting parameters, tuned values.
 BOOSTING = {
-    "maxIter": 491,
-    "stepSize": 0.01110442342472048,
-    "maxDepth": 13,
-    "minInstancesPerNode": 26,
-    "subsamplingRate": 0.9705203514053395,
-    "featureSubsetStrategy": "0.679486272613669",
+    "trees": 491,
+    "rate": 0.01110442342472048,
+    "depth": 13,
+    "leaves": 54,
+    "min_rows": 26,
+    "rows": 0.9705203514053395,
+    "columns": 0.679486272613669,
+    "l1": 0.7901755405312056,
+    "l2": 0.6059599747810114,
     "seed": 42,
 }
 # ---- end of fixed values ----

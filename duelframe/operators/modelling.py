@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from duelframe import constants as K
 from duelframe.functions.columns import all_not_null, quoted
 from duelframe.functions.outcomes import first_best_class, result_label
+from duelframe.operators import boosting
 from duelframe.operators.checks import observed, require_columns
 from duelframe.session import cut_lineage
 
@@ -83,74 +81,99 @@ def latest_seasons(df: DataFrame) -> Seasons:
     return Seasons(current=newest[0]["season"], validation=newest[1]["season"])
 
 
+def _newest_seasons(df: DataFrame):
+    """The newest seasons, descending, as a one-row subquery of the plan: no job before the
+    action. Seasons are years, so their set is short whatever the data."""
+    every = F.sort_array(F.collect_set(F.col("season").cast("string")), asc=False)
+    enough = F.when(F.size(every) >= 3, every).otherwise(F.raise_error(F.lit("a split needs at least three seasons")))
+    return df.agg(enough.alias("seasons")).scalar()
+
+
 def with_split(df: DataFrame, seasons: Seasons | None = None) -> DataFrame:
-    """Add `split`: train, validation or excluded."""
-    seasons = seasons or latest_seasons(df)
+    """Add `split`: train, validation or excluded. Without `seasons` they are looked up while
+    the result is computed; fewer than three then fail that job."""
+    require_columns(df, ["season"], "season split")
     season = F.col("season").cast("string")
+    if seasons:
+        current, validation = F.lit(seasons.current), F.lit(seasons.validation)
+    else:
+        newest = _newest_seasons(df)
+        current, validation = newest[0], newest[1]
     return df.withColumn(
         "split",
-        F.when(season == seasons.current, F.lit("excluded"))
-        .when(season == seasons.validation, F.lit("validation"))
+        F.when(season == current, F.lit("excluded"))
+        .when(season == validation, F.lit("validation"))
         .when(season.isNotNull(), F.lit("train")),
     )
 
 
-def _booster(label: str, name: str, params: dict) -> GBTClassifier:
-    booster = GBTClassifier(labelCol=label, featuresCol="_features", predictionCol=f"_class_{name}", **params)
-    return booster.setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_raw_{name}")
+def prepare_matrix(train: DataFrame, features: list[str], odds: list[str], bins: int) -> tuple[DataFrame, list[list[float]]]:
+    """The stored training matrix of all models and the bin borders of its features and odds:
+    rows with all features, binned once, with `result` (class index), `over`, `has_odds`."""
+    names = features + odds
+    complete = complete_rows(train, features)
+    edges = boosting.bin_edges(complete, names, bins)
+    result = sum((F.when(F.col("match_result") == c, i).otherwise(0) for i, c in enumerate(K.RESULT_CLASSES)), F.lit(0))
+    keep = {
+        "result": F.when(F.col("match_result").isNotNull(), result),
+        "over": F.col("Over").cast("int"),
+        "has_odds": all_not_null(odds),
+    }
+    matrix = boosting.binned(complete, names, edges, keep)
+    return cut_lineage(matrix.withColumn("key", F.xxhash64("codes", "result", "over"))), edges
+
 
+@dataclass(frozen=True)
+class ModelSpec:
+    """One model of a training run."""
+
+    variant: str
+    target: str             # result or over
+    features: list[str]
+    needs_odds: bool
 
-def _matrix(train: DataFrame, features: list[str], labels: dict) -> tuple[VectorAssembler, DataFrame]:
-    assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    ready = assembler.transform(complete_rows(train, features)).select("_features", *labels.values())
-    # Boosting reads its input once per tree: do not rebuild the features each time.
-    return assembler, cut_lineage(ready).persist(StorageLevel.MEMORY_AND_DISK)
+    @property
+    def classes(self) -> list[str]:
+        return K.RESULT_CLASSES if self.target == "result" else ["over"]
 
 
-def fit_result(train: DataFrame, features: list[str], params: dict) -> PipelineModel:
-    labels = {c: (F.col("match_result") == c).cast("double").alias(f"_is_{c}") for c in K.RESULT_CLASSES}
-    assembler, ready = _matrix(train, features, labels)
-    try:
-        fitted = [_booster(f"_is_{c}", c, params).fit(ready) for c in K.RESULT_CLASSES]
-    finally:
-        ready.unpersist()
-    return PipelineModel([assembler, *fitted])
+def model_specs(features: list[str], variants: tuple[str, ...]) -> list[ModelSpec]:
+    """Variant A sees no odds; B sees those of its market and only rows with all odds."""
+    specs = [ModelSpec("A", "result", features, False), ModelSpec("A", "over", features, False)]
+    specs += [ModelSpec("B", "result", features + K.RESULT_ODDS, True), ModelSpec("B", "over", features + K.OVER_ODDS, True)]
+    return [s for s in specs if s.variant in variants]
 
 
-def fit_over(train: DataFrame, features: list[str], params: dict) -> PipelineModel:
-    labels = {"over": F.col("Over").cast("double").alias("_is_over")}
-    assembler, ready = _matrix(train.filter(F.col("Over").isNotNull()), features, labels)
-    try:
-        fitted = _booster("_is_over", "over", params).fit(ready)
-    finally:
-        ready.unpersist()
-    return PipelineModel([assembler, fitted])
+def fit_models(train: DataFrame, specs: list[ModelSpec], params: dict) -> dict[tuple[str, str], boosting.Boosted]:
+    """All models, fitted side by side from one stored matrix, by (variant, target)."""
+    bins = (boosting.DEFAULTS | params)["bins"]
+    odds = K.RESULT_ODDS + K.OVER_ODDS
+    features = [f for f in specs[0].features if f not in odds]
+    odds = odds if any(s.needs_odds for s in specs) else []
+    matrix, edges = prepare_matrix(train, features, odds, bins)
+    slots = max(1, train.sparkSession.sparkContext.defaultParallelism // len(specs))
 
+    @inheritable_thread_target(train.sparkSession)
+    def one(spec: ModelSpec) -> boosting.Boosted:
+        rows = matrix.where("has_odds") if spec.needs_odds else matrix
+        return boosting.fit(rows, spec.target, spec.classes, features + odds, edges, spec.features, params, slots)
 
-def _model_columns(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
+    with ThreadPoolExecutor(len(specs)) as pool:
+        return dict(zip([(s.variant, s.target) for s in specs], pool.map(one, specs), strict=True))
 
 
-def score_result(df: DataFrame, model: PipelineModel) -> DataFrame:
+def score_result(df: DataFrame, model: boosting.Boosted) -> DataFrame:
     """Add `p_a, p_d, p_h` and `result_pred` (class order A, D, H decides a tie)."""
-    scored = model.transform(complete_rows(df, _model_columns(model)))
-    raw = {c: vector_to_array(F.col(f"_p_{c}"))[1] for c in K.RESULT_CLASSES}
-    with_raw = scored.select(*[quoted(c) for c in df.columns], *[p.alias(f"_{c}") for c, p in raw.items()])
-    total = F.col("_A") + F.col("_D") + F.col("_H")
-    out = with_raw.select(
-        *[quoted(c) for c in df.columns], *[(F.col(f"_{c}") / total).alias(f"p_{c.lower()}") for c in K.RESULT_CLASSES]
-    )
-    return out.withColumn(
-        "result_pred", first_best_class([(c, F.col(f"p_{c.lower()}")) for c in K.RESULT_CLASSES])
-    )
+    names = [f"p_{c.lower()}" for c in model.classes]
+    scored = boosting.predict(complete_rows(df, model.features), model, names)
+    return scored.withColumn("result_pred", first_best_class([(c, F.col(n)) for c, n in zip(model.classes, names, strict=True)]))
 
 
-def score_over(df: DataFrame, model: PipelineModel) -> DataFrame:
+def score_over(df: DataFrame, model: boosting.Boosted) -> DataFrame:
     """Add `p_over`."""
-    scored = model.transform(complete_rows(df, _model_columns(model)))
-    return scored.select(*[quoted(c) for c in df.columns], vector_to_array(F.col("_p_over"))[1].alias("p_over"))
+    return boosting.predict(complete_rows(df, model.features), model, ["p_over"])
 
 
-def score(df: DataFrame, result_model: PipelineModel, over_model: PipelineModel) -> DataFrame:
+def score(df: DataFrame, result_model: boosting.Boosted, over_model: boosting.Boosted) -> DataFrame:
     """Both models' probabilities on rows that have all features."""
     return score_over(score_result(df, result_model), over_model)

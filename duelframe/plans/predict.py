@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation
 
 from duelframe import constants as K
+from duelframe.operators.boosting import Boosted
 from duelframe.operators.checks import require_columns
 from duelframe.operators.modelling import complete_rows_counted, min_history, score
 from duelframe.operators.report import coming_matches, prediction_report
@@ -13,8 +13,8 @@ from duelframe.operators.report import coming_matches, prediction_report
 
 def predict_coming_counted(
     features: DataFrame,
-    result_model: PipelineModel,
-    over_model: PipelineModel,
+    result_model: Boosted,
+    over_model: Boosted,
     as_of: str,
     days: int = K.REPORT_DAYS,
     history_filter: bool = False,
@@ -25,7 +25,7 @@ def predict_coming_counted(
     The date filter comes first and reaches the scan. `history_filter` asks for the same
     number of earlier games as training does.
     """
-    needed = result_model.stages[0].getInputCols()
+    needed = result_model.features
     require_columns(features, needed, "scoring")
     coming = coming_matches(features, as_of, days)
     if history_filter:
@@ -35,7 +35,7 @@ def predict_coming_counted(
 
 
 def predict_coming(
-    features: DataFrame, result_model: PipelineModel, over_model: PipelineModel, as_of: str, **options
+    features: DataFrame, result_model: Boosted, over_model: Boosted, as_of: str, **options
 ) -> DataFrame:
     """The report alone."""
     return predict_coming_counted(features, result_model, over_model, as_of, **options)[0]

@@ -4,69 +4,68 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe import constants as K
-from duelframe.functions.columns import all_not_null
+from duelframe.functions.columns import quoted
+from duelframe.operators.boosting import Boosted
 from duelframe.operators.evaluate import comparison_report
 from duelframe.operators.modelling import (
     Seasons,
     complete_rows,
-    fit_over,
-    fit_result,
+    fit_models,
     latest_seasons,
     min_history,
+    model_specs,
     score_over,
     score_result,
     select_feature_columns,
     with_split,
     with_targets,
 )
+from duelframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Trained:
-    result_model: PipelineModel
-    over_model: PipelineModel
+    models: dict[tuple[str, str], Boosted]      # by (variant, target)
     features: list[str]
     seasons: Seasons
     scored: dict[str, DataFrame]    # validation rows with probabilities, by model variant
     report: DataFrame               # (model, target, metric, value)
     metadata: DataFrame             # one row
 
+    @property
+    def result_model(self) -> Boosted:
+        return self.models["A", "result"]
 
-def train_and_compare(features: DataFrame, params: dict | None = None, source: str = "") -> Trained:
+    @property
+    def over_model(self) -> Boosted:
+        return self.models["A", "over"]
+
+
+def train_and_compare(
+    features: DataFrame, params: dict | None = None, source: str = "", variants: tuple[str, ...] = ("A", "B")
+) -> Trained:
     """Variant A sees no odds, variant B does. Both are judged on the validation matches
     that have all odds and all features, so every figure is over the same rows. Variant A
-    is the one to keep."""
+    is the one to keep. Only the `variants` asked for are fitted."""
     params = dict(K.BOOSTING if params is None else params)
-    ready = with_targets(min_history(features))
-    seasons = latest_seasons(ready)
-    parts = with_split(ready, seasons)
     names = select_feature_columns(features.columns)
     odds = K.RESULT_ODDS + K.OVER_ODDS
+    kept = [c for c in dict.fromkeys([*K.FRONT_COLUMNS, *names, *odds, "match_result"]) if c in {*features.columns, "match_result"}]
+    # Read by the season look-up, the bins, the matrix and the validation: computed once.
+    ready = cut_lineage(with_targets(min_history(features)).select(*[quoted(c) for c in kept]))
+    seasons = latest_seasons(ready)
+    parts = with_split(ready, seasons)
     train = parts.filter("split = 'train'")
-    train_odds = train.filter(all_not_null(odds))
     validation = complete_rows(parts.filter("split = 'validation'"), names + odds)
 
-    models = {
-        "A": (fit_result(train, names, params), fit_over(train, names, params)),
-        "B": (
-            fit_result(train_odds, names + K.RESULT_ODDS, params),
-            fit_over(train_odds, names + K.OVER_ODDS, params),
-        ),
-    }
-    scored = {
-        variant: score_over(score_result(validation, result), over) for variant, (result, over) in models.items()
-    }
+    models = fit_models(train, model_specs(names, variants), params)
+    scored = {v: score_over(score_result(validation, models[v, "result"]), models[v, "over"]) for v in variants}
     report = comparison_report(scored)
-    result_model, over_model = models["A"]
-    return Trained(
-        result_model, over_model, names, seasons, scored, report,
-        model_metadata(train, report, names, seasons, source),
-    )
+    return Trained(models, names, seasons, scored, report, model_metadata(train, report, names, seasons, source))
 
 
 def model_metadata(train: DataFrame, report: DataFrame, names: list[str], seasons: Seasons, source: str) -> DataFrame:

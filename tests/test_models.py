@@ -98,6 +98,19 @@ def test_season_split(spark):
     }
     with pytest.raises(ValueError, match="three seasons"):
         modelling.latest_seasons(seasons(spark, ["1415", "1516"]))
+    with pytest.raises(Exception, match="three seasons"):
+        modelling.with_split(seasons(spark, ["1415", "1516"])).collect()
+
+
+def test_season_split_starts_no_job_before_its_action(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("split", "split")
+    try:
+        df = modelling.with_split(seasons(spark, ["1415", "1516", "1617"]))
+        assert not tracker.getJobIdsForGroup("split")
+        assert df.count() == 3 and tracker.getJobIdsForGroup("split")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_feature_choice():
@@ -123,7 +136,7 @@ def feature_table(spark, seasons_=4, per_season=60):
     return rows.select(*columns)
 
 
-TREES = {"maxIter": 2, "maxDepth": 3, "stepSize": 0.3, "seed": 42}
+TREES = {"trees": 8, "depth": 3, "rate": 0.4, "min_rows": 5, "seed": 42}
 
 
 @pytest.fixture(scope="module")
@@ -147,19 +160,20 @@ def test_training_queries_fit_the_whole_job(spark, monkeypatch):
     class Fitting(Exception):
         pass
 
-    def fit(train, names, params):
-        raise Fitting(train.count(), params)
+    def fit(train, specs, params):
+        raise Fitting(train.count(), params, [(s.variant, s.target) for s in specs])
 
     table = feature_table(spark)
     monkeypatch.setattr(queries, "load", lambda *_: (None, None, None))
     monkeypatch.setattr(queries.feature_plan, "build_base", lambda *_, **__: None)
     monkeypatch.setattr(queries.feature_plan, "build_features", lambda *_, **__: table)
-    monkeypatch.setattr(train_plan, "fit_result", fit)
+    monkeypatch.setattr(train_plan, "fit_models", fit)
     labelled = modelling.min_history(table).filter("season < '2016'").count()
-    for name in ("train_and_score", "train_comparison", "predict_coming_matches"):
+    a, b = [("A", "result"), ("A", "over")], [("B", "result"), ("B", "over")]
+    for name, models in (("train_and_score", a), ("train_comparison", a + b), ("predict_coming_matches", a)):
         with pytest.raises(Fitting) as seen:
             queries.PLAIN[name](spark, "")
-        assert seen.value.args == (labelled, K.BOOSTING)
+        assert seen.value.args == (labelled, K.BOOSTING, models)
 
 
 def test_saved_models_predict_the_same(spark, trained, tmp_path):
