@@ -23,6 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
 
 
+#: Folders that `stored` wrote, in order.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, label: str, **options) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -35,6 +39,7 @@ def stored(df: DataFrame, label: str, **options) -> DataFrame:
     for key, value in options.items():
         writer = writer.option(key, value)
     writer.parquet(path)
+    _written.append(path)
     # What was shuffled for it is needed no more; Spark's cleaner drops the files of
     # shuffles once their plans are collected.
     spark.sparkContext._jvm.System.gc()
@@ -50,6 +55,23 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def written_so_far() -> int:
+    """A mark for `forget_since`."""
+    return len(_written)
+
+
+def forget_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete what was stored after `mark`, but for what the frames `kept` read."""
+    needed = {name.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in kept for name in df.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stay = [path for path in _written[mark:] if path.rsplit("/", 1)[1] in needed]
+    for path in set(_written[mark:]) - set(stay):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _written[mark:] = stay
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """`df` without the columns of these names, whatever their case."""
     taken = {n.lower() for n in names}

@@ -3,8 +3,11 @@
 Rows of the incidence matrix are documents (equal rows are one), columns are n-grams by
 64-bit hash. Two rows of sizes a and b whose Jaccard similarity is at least `t` differ in
 at most (a + b)(1 - t)/(1 + t) columns. Columns are therefore cut into more blocks than
-that, by hash and size class: linked rows are equal in at least one block, and a row of
-the candidate table is (block's content, document).
+that, by hash and size class, and a row of the candidate table is (block's content,
+document). With `extra` blocks more than needed, linked rows are equal in extra + 1 blocks at
+least. Ordered by how many documents have the same content, the rarest of these is, in either
+row, no one of its `extra` most frequent blocks; so each row leaves those out, and documents
+that share no more than a passage or lines that many have do not meet at all.
 
 Rows that meet are gathered around the one that meets most others. How many columns each
 row has in some hundred buckets bounds the overlap of two rows from above; a group falls
@@ -31,18 +34,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from duelframe.llm.common import add_columns, stored, whole_text
+from duelframe.llm.common import add_columns, forget, forget_since, stored, whole_text, written_so_far
 from duelframe.llm.components import components
 from duelframe.llm.wordhash import mix, shingle_sets
 
 #: Ratio of the size classes that share a number of blocks.
 CLASS_RATIO = 1.3
-#: Share of extra blocks; as many blocks of fewer than WEAK columns may be left out.
-SLACK, WEAK = 0.06, 4
+#: Extra blocks as a share of the needed ones, and the part of them that may be empty blocks.
+EXTRA, EMPTY = 0.25, 0.25
 #: Rows multiplied at once, and columns per block of the product.
 GROUP, COLUMNS = 1_024, 8_192
 #: Rows of a group held against each other by their bucket counts in one task, and the
@@ -50,9 +53,19 @@ GROUP, COLUMNS = 1_024, 8_192
 SIFTED, MOST_BITS = 4_096, 12
 
 
+def blocks_of_class(c: int, percent: int) -> tuple[int, int, int]:
+    """Blocks of size class `c`, how many empty ones a row may leave out, and how many of its
+    most frequent ones beside them."""
+    top = math.floor(CLASS_RATIO ** (c + 1)) + 1  # no row of the class is larger
+    most = 2 * top * (100 - percent) // (100 + percent)
+    extra = math.ceil(EXTRA * most)
+    empty = int(EMPTY * extra)
+    return most + 1 + extra, empty, extra - empty
+
+
 def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a row's column blocks, for its own size class and, if a linked row may be in
-    the next one, for that too."""
+    the next one, for that too. The last byte of a key is its class."""
     n = len(row)
     if not n:
         return np.zeros(0, np.int64)
@@ -60,10 +73,7 @@ def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
     largest = 100 * n // percent
     keys = []
     for c in range(own, int(math.log(largest) / math.log(CLASS_RATIO) + 1e-9) + 1):
-        top = math.floor(CLASS_RATIO ** (c + 1)) + 1  # no row of the class is larger
-        most = 2 * top * (100 - percent) // (100 + percent)
-        extra = int(SLACK * most)
-        blocks = most + 1 + extra
+        blocks, may_be_empty, _ = blocks_of_class(c, percent)
         place = ((row >> np.uint64(11)) % np.uint64(blocks)).astype(np.int64)
         size = np.bincount(place, minlength=blocks)
         order = np.argsort(place, kind="stable")
@@ -71,9 +81,9 @@ def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
         ends = np.cumsum(size)
         content = sums[ends] - sums[ends - size]
         seed = (np.arange(blocks, dtype=np.uint64) << np.uint64(32)) + np.uint64(c * 1_000_003 + 17)
-        key = mix(mix(seed) ^ content)
-        strong = size >= WEAK
-        keys.append(key[strong] if blocks - strong.sum() <= extra else key)
+        key = (mix(mix(seed) ^ content) << np.uint64(8)) | np.uint64(c)
+        filled = size > 0
+        keys.append(key[filled] if blocks - filled.sum() <= may_be_empty else key)
     return np.concatenate(keys).view(np.int64)
 
 
@@ -216,10 +226,21 @@ def meeting_rows(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, id_row long")
 
 
-def middles(meeting: DataFrame) -> DataFrame:
+def rarest_meetings(met: DataFrame, percent: int) -> DataFrame:
+    """`met` without each row's most frequent keys, as many as its size class can spare."""
+    common = met.groupBy("key").agg(F.count("*").alias("_n"))
+    # Classes are powers: 84 of them reach past two thousand million columns.
+    spare = F.array(*[F.lit(blocks_of_class(c, percent)[2]) for c in range(84)])
+    size_class = F.col("key").bitwiseAND(F.lit(255)).cast("int")
+    often = Window.partitionBy("id_row", "_class").orderBy(F.desc("_n"), "key")
+    ranked = met.distinct().join(common, "key").withColumn("_class", size_class).withColumn("_rank", F.row_number().over(often))
+    return ranked.where(F.col("_rank") > F.get(spare, F.col("_class"))).select("key", "id_row")
+
+
+def middles(meeting: DataFrame, percent: int) -> DataFrame:
     """(middle, id_row, met, degree): each key's rows around the row that meets most others,
     with the keys through which each belongs there, no more than the row has."""
-    met = stored(meeting, "meeting")
+    met = stored(rarest_meetings(meeting, percent), "rarest")
     degree = met.groupBy("id_row").agg(F.count("*").alias("_d"))
     best = met.join(degree, "id_row").groupBy("key").agg(
         F.max(F.struct("_d", "id_row")).alias("_best"), F.min("id_row").alias("_low"), F.max("id_row").alias("_high")
@@ -427,6 +448,7 @@ def group_edges(groups: DataFrame, docs: DataFrame, words: int, percent: int) ->
 
 def similarity_classes(docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`: links reach `percent`."""
+    mark = written_so_far()
     rows = stored(incidence(docs, whole_text(text), key, words, percent), "incidence")
     some = rows.where("row is not null")
     classes = some.groupBy("row").agg(
@@ -434,12 +456,17 @@ def similarity_classes(docs: DataFrame, words: int, percent: int, key: str = "do
     )
     classes = stored(classes, "classes")
     # Rows without an id meet nobody: an equal row with one has the same keys, and a middle needs an id.
-    groups = sift(middles(meeting_rows(some.where("doc_id is not null"))), classes.select("id_row", "n", "counts"), percent)
+    meeting = stored(meeting_rows(some.where("doc_id is not null")), "meeting")
+    # The widest table, for its keys, is needed no more.
+    digests = stored(rows.select("doc_id", "n_shingles", "row"), "rows")
+    forget(docs.sparkSession, rows)
+    groups = sift(middles(meeting, percent), classes.select("id_row", "n", "counts"), percent)
     groups = groups.join(classes.select("id_row", F.col("first").alias("doc_id")), "id_row")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     parts = stored(components(group_edges(groups, texts, words, percent)), "parts")
     named = classes.join(parts, classes["first"] == parts["node"], "left")
     named = stored(named.select("row", F.coalesce("component", "first").alias("component_id")), "named")
-    return rows.select("doc_id", "n_shingles", "row").join(named, "row", "left").select(
+    forget_since(docs.sparkSession, mark, named, digests)
+    return digests.select("doc_id", "n_shingles", "row").join(named, "row", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField
 
-from duelframe.llm.common import add_columns, forget, stored, whole_text
+from duelframe.llm.common import add_columns, forget, forget_since, stored, whole_text, written_so_far
 
 LENGTH, SEED = 400, 128
 #: Anchors of one seed that are judged in one task; more are judged by rounds of names.
@@ -356,6 +356,7 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
     """(key, n_removed, n_spans, kept): each different text that loses bytes."""
+    spark, mark = docs.sparkSession, written_so_far()
     every = stored(suffixes(docs, text, length, seed), "anchors")
     texts = every.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("_n"), F.max("n_bytes").alias("n_bytes"))
     texts = stored(texts.select("key", "rid", "n_bytes", (F.col("_n") > 1).alias("whole")), "texts")
@@ -363,14 +364,16 @@ def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEE
     family = IndexFamily()
     for batch in range(batches):
         family.add(one.where(F.pmod(F.xxhash64("rid"), F.lit(batches)) == batch))
-    forget(docs.sparkSession, every)
+    forget_since(spark, mark, texts, *family.inside.values(), *family.across)
 
     # One copy of each text goes on: the others' suffixes leave by this join.
     twins = stored(family.twins().hint("shuffle_merge").join(texts.select("rid", "whole"), "rid"), "marks")
+    forget_since(spark, mark, texts, twins)
     reaches = twins.where("reach <> 0").groupBy("seed", "reach")
     reaches = reaches.agg(F.count("*").alias("_n"), F.min(F.struct("rid", "pos")).alias("_one"), F.max("whole").alias("_w"))
     reaches = stored(reaches.where("_n > 1 or _w").select("seed", "reach", "_one"), "reaches")
     marks = stored(twins.hint("shuffle_merge").join(reaches, ["seed", "reach"], "left"), "judged")
+    forget_since(spark, mark, texts, marks)
     full = marks.where("not whole and _one is not null").select("rid", "pos", F.lit(0).alias("low"), F.lit(length - seed).alias("high"))
     open_ = ~F.col("whole") & F.col("_one").isNull()
     partner = F.when(F.col("reach") != 0, F.struct("rid", "pos") == F.col("_one")).otherwise(F.col("whole"))
@@ -385,6 +388,9 @@ def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEE
     bodies = bodies.withColumn("key", F.unhex(F.md5("body"))).hint("shuffle_merge")
     marked = bodies.join(places.join(texts, "rid").select("key", "rid", "whole", "places"), "key")
     marked = stored(marked.withColumn("copy", F.monotonically_increasing_id()), "marked")
+    hot_seeds = not seeds.where("hot").isEmpty()
+    full = stored(full, "full")
+    forget_since(spark, mark, texts, marked, full)
     # A text that is not whole has one copy. Of the others' copies one serves as partner.
     first = marked.where("whole").groupBy("rid").agg(F.min("copy").alias("copy"))
     partners = marked.where("whole").join(stored(first, "first"), ["rid", "copy"], "left_semi")
@@ -396,7 +402,7 @@ def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEE
     contexts = around.select("rid", "pos", "seed", "open", "hot", left.alias("left"), context.alias("body"))
     ranges = stored(judge_together(contexts.where("not hot"), length, seed), "spans").unionByName(full)
     hot = contexts.where("hot").drop("hot")
-    if not seeds.where("hot").isEmpty():
+    if hot_seeds:
         ranges = ranges.unionByName(refine(stored(hot, "contexts"), length, seed))
     spans = ranges.groupBy("rid").agg(
         F.collect_list((F.col("pos") - F.col("high")).cast("long")).alias("starts"),
@@ -420,24 +426,26 @@ def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEE
     once = marked.where("not whole").select("rid", "key", "body").hint("shuffle_merge").join(spans, "rid")
     cut = add_columns(once, [F.col("body"), F.col("starts"), F.col("ends")], fields, work, ["key"]).dropDuplicates(["key"])
     gone = texts.where("whole").select("key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    return stored(cut.unionByName(gone), "cuts")
+    cuts = stored(cut.unionByName(gone), "cuts")
+    forget_since(spark, mark, cuts)
+    return cuts
 
 
-def judged(docs: DataFrame, columns: list[Column], length: int = LENGTH, text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, columns: list[Column], length: int = LENGTH, text: str = "text", seed: int = SEED) -> DataFrame:
     """`columns` of `docs` with `key` of the text and what it loses: n_removed, n_spans and
     the `kept` bytes (null: all of them)."""
     body = whole_text(text)
-    cuts = repeats(docs, body, length)
+    cuts = repeats(docs, body, length, seed)
     keyed = docs.select(*columns, text_key(body).alias("key"))
     return keyed.hint("shuffle_merge").join(cuts, "key", "left").withColumns(
         {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_removed", "n_spans")}
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """`docs` with its repeated bytes cut out of `text`. Bytes that a cut leaves of a broken
     character are dropped, since a string cannot hold them."""
-    found = judged(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")], length)
+    found = judged(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")], length, seed=seed)
     clean = F.when(F.col("kept").isNull(), F.col("_row.text")).otherwise(valid_text(F.col("kept")))
     return found.select(F.col("_row").withField("text", clean).alias("_row")).select("_row.*")
 
