@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from duelframe.llm.bpe import vocabulary
-from duelframe.llm.common import add_columns, whole_text
+from duelframe.llm.common import add_columns, stored, whole_text
 
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
@@ -41,7 +41,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """The histogram with, for each length taken as a context limit: docs_at_least and
     tokens_at_least (documents that long or longer), truncated_tokens (all documents cut to
     the limit) and docs_upto (documents not longer: the quantile that the length stands at)."""
-    rows = hist.withColumn("_block", F.floor(F.col("length") / BLOCK))
+    # Both the sums and the rows that they join read it: the texts are encoded once.
+    rows = stored(hist.withColumn("_block", F.floor(F.col("length") / BLOCK)), "lengths")
     blocks = rows.groupBy("_block").agg(F.sum("n_docs").alias("_docs"), F.sum("n_tokens").alias("_tokens"))
     later, every = Window.orderBy(F.desc("_block")), Window.partitionBy(F.lit(0))
     after = [(F.sum(c).over(later) - F.col(c)).alias(f"{c}_after") for c in ("_docs", "_tokens")]
