@@ -101,7 +101,7 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(read_table(spark, sf_dir, "documents"), key, F.col("source"), F.col("text"), {"doc_id": key})
     first = F.get("takes", 0)["position"].alias("position")
     out = mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("takes").alias("passes"), first)
-    return out.orderBy("position")
+    return out.orderBy("position", "doc_id")  # those that are not taken have no position: the id deals them out
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
