@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from duelframe import constants as K
 from duelframe.catalog.fixtures import oracle
-from duelframe.catalog.queries import AS_OF, COUNTRIES, COUNTS, SINCE
+from duelframe.catalog.queries import AS_OF, COUNTRIES, COUNTS, READ_SEASON, SINCE
 
 ORACLES: dict[str, str] = {}
 
@@ -566,3 +566,39 @@ ORACLES["training_features"] = oracle(
     f"""{_TRAINING}, {long_ctes('tb', missing=('ppda',))}, {match_level_sql('tb', _TB, K.SCOPES, K.WINDOWS, K.STATS)}
 select {_all(_TB + ['Over'] + _TF_NAMES, _TB_DOUBLES)} from ml""",
 )
+
+# ---- sinks and sources ----
+
+ORACLES["match_tree_rewrite"] = oracle(
+    ["matches"],
+    """select match_id, replace(league, ' ', '_') as league, cast(season as varchar) as season,
+  case when season = (select max(season) from matches) then home_goals + 1 else home_goals end as home_goals, away_goals
+from matches""",
+)
+ORACLES["match_tree_scan"] = oracle(
+    ["matches"],
+    f"""select cast(season as varchar) as season, count(*) as rows, count(distinct league) as folders,
+  count(home_xg) filter (where substring(league, 8, 1) not in ('1', '3', '5')) as with_xg, sum(home_goals)::bigint as goals
+from matches where season = '{READ_SEASON}' group by season""",
+)
+ORACLES["snapshot_rewrite"] = oracle(
+    ["elo_snapshot"],
+    f"""select team, country, {r("elo")} as elo, '2024-01-01' as as_of_date from elo_snapshot
+union all select team, country, {r("elo + 5")}, '2024-02-01' from elo_snapshot where country <> 'C2'""",
+)
+ORACLES["ordered_csv"] = oracle(
+    ["matches"],
+    """select match_id, home_team, row_number() over (order by home_team nulls first, match_id nulls first) - 1 as position
+from matches""",
+)
+ORACLES["name_map_round_trip"] = """select concat_ws(' ', upper(c_name), '"quoted"', c_mktsegment) as raw, c_name as canonical from customer"""
+ORACLES["guarded_matches"] = oracle(
+    ["matches"], "select season, count(*) as n, sum(home_goals)::bigint as goals from matches group by season"
+)
+ORACLES["season_names"] = oracle(
+    ["matches"],
+    f"""wanted as (select unnest(range(1994, year(date '{AS_OF}') + case when month(date '{AS_OF}') >= 7 then 1 else 0 end)) as y)
+select y::int as start_year, y || '/' || (y + 1) as season, y || '-' || (y + 1) as folder,
+  printf('%02d-%02d', (y % 100)::int, ((y + 1) % 100)::int) as short, count(match_id) as n
+from wanted left join matches on season = y::varchar group by y""",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from duelframe.functions.dates import (
     compact_season,
     day_before,
     season_label,
+    season_list,
     season_start_year,
     short_season_label,
     snapshot_dates,
@@ -22,10 +24,12 @@ from duelframe.functions.text import normalised_name, path_key
 from duelframe.operators import asof, evaluate, history, ingest, mapping, matchlevel, modelling, odds, report
 from duelframe.operators import normalize as norm
 from duelframe.operators import resolve, rolling, similarity, snapshot
-from duelframe.operators.checks import missing_counts
+from duelframe.operators.checks import file_positions, guard_rows, missing_counts
 from duelframe.plans import features as feature_plan
 from duelframe.plans.predict import predict_coming
 from duelframe.plans.train import train_and_compare
+from duelframe.session import ensure_checkpoint_dir
+from duelframe.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN: dict[str, Query] = {}      # as the operators return it
@@ -36,6 +40,7 @@ COUNTRIES = [f"C{i}" for i in range(6)]
 COUNTS = {"C0": 6, "C1": 5, "C2": 4, "C4": 3}
 AS_OF = "1998-08-10"
 SINCE = "1995-03-01"
+READ_SEASON = "1998"
 PIECES = 48
 
 
@@ -476,6 +481,96 @@ def prediction_report(spark, sf):
     )
 
 
+# ---- sinks and sources: written, and read back ----
+
+
+def _folder(spark, name):
+    """A new folder of the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/catalog/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def match_tree_rewrite(spark, sf):
+    """A tree of leagues and seasons, of which a second run replaces one season's folders."""
+    (matches,) = load(spark, sf, "matches")
+    path = _folder(spark, "tree")
+    rows = matches.select("match_id", "league", "season", "home_goals", "away_goals")
+    writers.write_match_tree(rows, path)
+    newest = rows.filter(F.col("season").cast("string") == rows.agg(F.max(F.col("season").cast("string"))).scalar())
+    writers.write_match_tree(newest.withColumn("home_goals", F.col("home_goals") + 1), path)
+    back = readers.read_match_tree(spark, path, merge_schema=False)
+    return back.select("match_id", F.col("league").cast("string"), F.col("season").cast("string"), "home_goals", "away_goals")
+
+
+@query
+def match_tree_scan(spark, sf):
+    """Files with different columns in one tree: a season's rows, and how many folders were
+    opened for them."""
+    (matches,) = load(spark, sf, "matches")
+    path = _folder(spark, "mixed")
+    rows = matches.select("match_id", "league", "season", "home_goals", "home_xg")
+    odd = F.substring("league", 8, 1).isin("1", "3", "5")
+    writers.write_match_tree(rows.filter(odd).drop("home_xg"), path)
+    writers.write_match_tree(rows.filter(odd.isNull() | ~odd), path)
+    tree = readers.read_match_tree(spark, path)
+    season = tree.select("*", F.col("_metadata.file_path").alias("_file")).filter(F.col("season").cast("string") == READ_SEASON)
+    folder = F.regexp_extract("_file", "league=([^/]*)/", 1)
+    return season.groupBy(F.col("season").cast("string").alias("season")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct(folder).alias("folders"),
+        F.count("home_xg").alias("with_xg"),
+        F.sum("home_goals").alias("goals"),
+    )
+
+
+@query
+def snapshot_rewrite(spark, sf):
+    """Two dated snapshots; a rerun of the second date replaces that date only."""
+    (snapshot_,) = load(spark, sf, "elo_snapshot")
+    path = _folder(spark, "snapshots")
+    table = snapshot_.select("team", "country", "elo")
+    writers.write_snapshot(table, path, "2024-01-01")
+    writers.write_snapshot(table, path, "2024-02-01")
+    writers.write_snapshot(table.filter("country <> 'C2'").withColumn("elo", F.col("elo") + 5), path, "2024-02-01")
+    return readers.read_table(spark, path).withColumn("as_of_date", F.col("as_of_date").cast("string"))
+
+
+@query
+def ordered_csv(spark, sf):
+    """Place of each row of a sorted CSV sink, over all its files."""
+    (matches,) = load(spark, sf, "matches")
+    path = _folder(spark, "csv")
+    writers.write_csv(matches.select("match_id", "home_team"), path, order=["home_team", "match_id"])
+    return file_positions(readers.read_csv(spark, path, "match_id string, home_team string"))
+
+
+@query
+def name_map_round_trip(spark, sf):
+    """A name map that grows with the customers, through its sink and source."""
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    path = _folder(spark, "names")
+    raw = F.concat_ws(" ", F.upper("c_name"), F.lit('"quoted"'), F.col("c_mktsegment"))
+    writers.write_name_map(customers.select(raw.alias("raw"), F.col("c_name").alias("canonical")), path)
+    return readers.read_name_map(spark, path)
+
+
+@query
+def guarded_matches(spark, sf):
+    """Rows behind a guard against an empty table, by season."""
+    (matches,) = load(spark, sf, "matches")
+    guarded = guard_rows(matches.select("season", "home_goals"), "no matches")
+    return guarded.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("home_goals").alias("goals"))
+
+
+@query
+def season_names(spark, sf):
+    """The seasons that a batch load asks for, with the matches there are of each."""
+    (matches,) = load(spark, sf, "matches")
+    seasons = season_list(spark, AS_OF, first_year=1994)
+    there = matches.groupBy(F.col("season").cast("int").alias("start_year")).agg(F.count(F.lit(1)).alias("n"))
+    return seasons.join(there, "start_year", "left").select("start_year", "season", "folder", "short", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # ---- whole jobs ----
 
 
@@ -522,5 +617,10 @@ def train_comparison(spark, sf):
 
 @query
 def predict_coming_matches(spark, sf):
+    """Models saved, loaded again and used on the coming matches."""
     table, trained = _trained(spark, sf, ("A",))
-    return predict_coming(table, trained.result_model, trained.over_model, "1997-07-14")
+    path = _folder(spark, "models")
+    writers.write_model(trained.result_model, f"{path}/result")
+    writers.write_model(trained.over_model, f"{path}/over")
+    result_model, over_model = readers.read_model(f"{path}/result"), readers.read_model(f"{path}/over")
+    return predict_coming(table, result_model, over_model, "1997-07-14")

@@ -63,6 +63,7 @@ def season_list(spark: SparkSession, as_of: str, first_year: int = K.FIRST_SEASO
     end = season_start_year(F.to_date(F.lit(as_of)))
     return (
         spark.range(1)
+        .filter(end >= first_year)  # a sequence would count down
         .select(F.explode(F.sequence(F.lit(first_year), end)).alias("start_year"))
         .select(
             "start_year",

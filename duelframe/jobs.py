@@ -10,6 +10,9 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from duelframe import constants as K
+from duelframe.functions.dates import season_list
+from duelframe.operators.checks import guard_rows
 from duelframe.plans import features as feature_plan
 from duelframe.plans import names as name_plan
 from duelframe.plans import ratings as rating_plan
@@ -26,6 +29,14 @@ def land_matches(spark: SparkSession, args) -> None:
     writers.write_match_tree(normalise_landed(readers.read_match_tree(spark, args.input)), args.output)
 
 
+def land_odds(spark: SparkSession, args) -> None:
+    """Landed odds files of the seasons up to `--as-of` into one table."""
+    seasons = season_list(spark, args.as_of).select(F.col("short").alias("season"))
+    landed = readers.read_match_tree(spark, args.input).withColumn("season", F.col("season").cast("string"))
+    known = guard_rows(landed.join(seasons, "season", "left_semi"), f"no odds of a season up to {args.as_of}")
+    writers.write_table(known, args.output)
+
+
 def rating_tables(spark: SparkSession, args) -> None:
     """Landed snapshots and histories to the team universe and the interval history."""
     universe = rating_plan.rating_universe([readers.read_match_tree(spark, args.snapshots)])
@@ -92,6 +103,8 @@ def train(spark: SparkSession, args) -> None:
     writers.write_model(trained.result_model, f"{args.output}/result_model")
     writers.write_model(trained.over_model, f"{args.output}/over_model")
     writers.write_metadata(trained.metadata, f"{args.output}/metadata")
+    order = ["model", "target", "metric"]
+    writers.write_csv(trained.report.unionByName(trained.quality).distinct(), f"{args.output}/evaluation", order=order)
 
 
 def predict(spark: SparkSession, args) -> None:
@@ -102,11 +115,17 @@ def predict(spark: SparkSession, args) -> None:
         args.as_of,
     )
     writers.write_csv(report, args.output)
-    print(f"coming matches: {counts.get['rows']}, dropped for missing features: {counts.get['dropped']}")
+    rows, dropped = counts.get["rows"], counts.get["dropped"]
+    print(f"coming matches: {rows}, dropped for missing features: {dropped}")
+    if not rows:
+        print(f"no match in the {K.REPORT_DAYS} days from {args.as_of}: the report is empty")
+    elif rows == dropped:
+        print("no coming match has all features: the report is empty")
 
 
 JOBS = {
     "land-matches": land_matches,
+    "land-odds": land_odds,
     "rating-tables": rating_tables,
     "rating-snapshot": rating_snapshot,
     "name-maps": name_maps,

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe import constants as K
+from duelframe.functions.columns import quoted
 from duelframe.functions.outcomes import first_best_class, implied_probabilities
+from duelframe.operators.modelling import odds_coverage
 
 # Smallest probability a log loss is taken of: the step between 1 and the next double.
 EPSILON = 2.220446049250313e-16
@@ -199,3 +201,17 @@ def comparison_report(scored: dict[str, DataFrame]) -> DataFrame:
         )
         reports.append(one.select(F.lit(model).alias("model"), rows.alias("r")).select("model", "r.*"))
     return reduce(DataFrame.unionByName, reports)
+
+
+def quality_report(scored: dict[str, DataFrame], matches: DataFrame | None = None) -> DataFrame:
+    """`(model, target, metric, value)`: accuracy, macro F1, Brier score and log loss of each
+    scored frame, and how many of `matches` there are and have all odds (model `all`)."""
+
+    def long(model: str, target: str, one: DataFrame) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), quoted(c).cast("double").alias("value")) for c in one.columns])
+        return one.select(F.lit(model).alias("model"), F.lit(target).alias("target"), F.inline(pairs))
+
+    parts = [] if matches is None else [long("all", "matches", odds_coverage(matches))]
+    for model, df in scored.items():
+        parts += [long(model, "result", result_metrics(df)), long(model, "over", over_metrics(df))]
+    return reduce(DataFrame.unionByName, parts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duelframe import constants as K
 from duelframe.functions.columns import quoted
 from duelframe.operators.boosting import Boosted
-from duelframe.operators.evaluate import comparison_report
+from duelframe.operators.evaluate import comparison_report, quality_report
 from duelframe.operators.modelling import (
     Seasons,
     complete_rows,
@@ -34,6 +34,7 @@ class Trained:
     seasons: Seasons
     scored: dict[str, DataFrame]    # validation rows with probabilities, by model variant
     report: DataFrame               # (model, target, metric, value)
+    quality: DataFrame              # the same columns: further metrics, and matches with odds
     metadata: DataFrame             # one row
 
     @property
@@ -65,7 +66,8 @@ def train_and_compare(
     models = fit_models(train, model_specs(names, variants), params)
     scored = {v: score_over(score_result(validation, models[v, "result"]), models[v, "over"]) for v in variants}
     report = comparison_report(scored)
-    return Trained(models, names, seasons, scored, report, model_metadata(train, report, names, seasons, source))
+    quality = quality_report(scored, ready)
+    return Trained(models, names, seasons, scored, report, quality, model_metadata(train, report, names, seasons, source))
 
 
 def model_metadata(train: DataFrame, report: DataFrame, names: list[str], seasons: Seasons, source: str) -> DataFrame:
