@@ -6,9 +6,9 @@ one piece is in the passage unchanged: an Aho-Corasick automaton finds all piece
 document in one scan, and Myers' bit-parallel distance verifies the stretch around them.
 
 Items come in blocks of `BLOCK_ITEMS` so that the automaton stays small; each block is one
-pass over the documents. An item of fewer than `MIN_WORDS` words matches only a document
-that is that item; null and empty items match nothing, null documents match nothing. Equal
-items are all reported.
+pass over the documents. An item of fewer than `MIN_WORDS` words matches without edits and
+only as whole words, anywhere in a text; null and empty items match nothing, null documents
+match nothing. Equal items are all reported.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from duelframe.llm.common import add_columns
 EDIT_SHARE = 0.06
 MIN_WORDS = 5
 BLOCK_ITEMS = 20_000
+#: In place of a piece's place: the piece is a short item as a whole.
+WHOLE = -1
 WORD = re.compile(r"[^\W_]+")
 #: Latin-1 bytes to lower-case letters and digits, everything else to a blank.
 PLAIN = bytes(ord(c) if (c := chr(b).lower()).isalnum() and ord(c) < 256 else 32 for b in range(256))
@@ -93,11 +95,10 @@ class Matcher:
     def __init__(self, items: Items):
         self.ids, self.texts = items.ids, items.texts
         self.budgets = [int(len(t) * items.share) if t.count(" ") + 1 >= MIN_WORDS else 0 for t in items.texts]
-        self.whole: dict[str, list[int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (text, budget) in enumerate(zip(items.texts, self.budgets, strict=True)):
             if text.count(" ") + 1 < MIN_WORDS:
-                self.whole.setdefault(text, []).append(i)
+                found.setdefault(f" {text} ", []).append((i, WHOLE))
             else:
                 for place, piece in pieces(text, budget):
                     found.setdefault(piece, []).append((i, place))
@@ -111,11 +112,17 @@ class Matcher:
 
     def match(self, text: str) -> list[tuple[int, int]]:
         """(item id, least distance) of the items in a normalised text, by id."""
-        found = [(self.ids[i], 0) for i in self.whole.get(text, ())]
+        whole: set[int] = set()
+        found = []
         stretches: dict[int, list[list[int]]] = {}
         if self.some and text:
-            for end, (size, uses) in self.automaton.iter(text):
+            # Short items are looked for with their borders; places are those of `text`.
+            for end, (size, uses) in self.automaton.iter(f" {text} "):
+                end -= 1
                 for i, place in uses:
+                    if place == WHOLE:
+                        whole.add(i)
+                        continue
                     budget = self.budgets[i]
                     begin = max(0, end + 1 - size - place - budget)
                     stop = end + 1 - size - place + len(self.texts[i]) + budget
@@ -128,7 +135,7 @@ class Matcher:
             best = min(self._distance(i, text[a:b]) for a, b in own)
             if best <= self.budgets[i]:
                 found.append((self.ids[i], best))
-        return sorted(found)
+        return sorted(found + [(self.ids[i], 0) for i in whole])
 
     def _distance(self, i: int, text: str) -> int:
         if self.texts[i] in text:

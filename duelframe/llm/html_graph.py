@@ -8,7 +8,7 @@ once down the tree, which gives exact marginals; runs that are more likely conte
 not are the main text. All potentials are counted on labelled pages (`labelled_pages`).
 
 Scripts, styles, the head, comments and form controls hold no text. Broken markup is read
-with the usual implied ends. Null or empty html gives an empty text. Depth and length of a
+with the usual implied ends; a quote outside a value is a letter of its tag. Null or empty html gives an empty text. Depth and length of a
 page are not limited; nothing here recurses.
 """
 
@@ -29,9 +29,10 @@ from pyspark.sql.types import LongType, StringType, StructField
 from duelframe.llm.common import add_columns
 
 BOILER, CONTENT, MIXED = 0, 1, 2
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S
-)
+#: Where markup starts: a comment, a declaration, a tag, or an end tag without a name.
+MARKUP = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*)|/)")
+#: In a tag: its end, or a value. Quotes stand around a value only right after an equals sign.
+IN_TAG = re.compile(r">|=\s*(?:([\"'])|[^\s\"'>][^\s>]*)")
 ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HINT = re.compile(r"[a-z]+")
 #: Elements whose content is not read as text, up to their end tag.
@@ -92,10 +93,48 @@ def hint(attributes: str) -> str:
     return "both" if boiler and content else "boiler" if boiler else "content" if content else "none"
 
 
+class Scanner:
+    """Markup of a page from front to back, each letter looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()  # marks that do not come any more
+
+    def find(self, mark: str, at: int) -> int:
+        """The place of the next `mark`, or -1."""
+        place = -1 if mark in self.gone else self.page.find(mark, at)
+        if place < 0:
+            self.gone.add(mark)
+        return place
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, stop, is an end tag, tag or '', attributes) of the next markup. A quote
+        that is never closed is a letter of its tag; what is open at the end of the page
+        goes up to there."""
+        found = MARKUP.search(self.page, at)
+        if not found:
+            return None
+        start, inside = found.span()
+        if not found[3]:
+            mark = "-->" if found[1] else ">"
+            # A comment may be as short as <!-->.
+            place = self.find(mark, start + 2 if found[1] else inside)
+            return start, len(self.page) if place < 0 else place + len(mark), False, "", ""
+        here = inside
+        while stop := IN_TAG.search(self.page, here):
+            here = stop.end()
+            if stop[0] == ">":
+                return start, here, bool(found[2]), found[3].lower(), self.page[inside : stop.start()]
+            if stop[1]:
+                here = max(here, self.find(stop[1], here) + 1)
+        return start, len(self.page), bool(found[2]), found[3].lower(), self.page[inside:]
+
+
 def parse(page: str, hints: dict[str, str]) -> Tree:
     """The block tree of a page. `hints` keeps what attribute strings have said before."""
     tree = Tree()
     stack = [(0, "page")]
+    opened: Counter[str] = Counter()  # tags on the stack
     strings: list[str] | None = None
     linked = links = 0
     silent, silent_depth = "", 0
@@ -110,6 +149,11 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
             tree.runs.append((len(tree.parent) - 1, strings, linked))
         strings, linked = None, 0
 
+    def leave() -> str:
+        tag = stack.pop()[1]
+        opened[tag] -= 1
+        return tag
+
     def text(piece: str) -> None:
         nonlocal strings, linked, head
         head = head and (bool(silent) or not piece or piece.isspace())
@@ -119,16 +163,16 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
             strings.append(piece)
             linked += len(piece) if links else 0
 
-    while token := TOKEN.search(page, at):
-        text(page[at : token.start()])
-        at = token.end()
-        tag = token[2] and token[2].lower()
+    scanner = Scanner(page)
+    while token := scanner.next(at):
+        start, stop, end, tag, attributes = token
+        text(page[at:start])
+        at = stop
         if not tag:
             continue
-        end = bool(token[1])
         if silent:
             if tag == silent:
-                silent_depth += -1 if end else silent in NESTED and not token[3].endswith("/")
+                silent_depth += -1 if end else silent in NESTED and not attributes.endswith("/")
                 silent = silent if silent_depth else ""
             continue
         if head:
@@ -137,9 +181,9 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
             head = True
         elif (tag in SILENT or (head and tag == "noframes")) and not end:
             if tag in RAW or tag == "noframes":
-                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
-            elif not token[3].endswith("/"):
+                close_tag = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close_tag.end() if close_tag else len(page)
+            elif not attributes.endswith("/"):
                 silent, silent_depth = tag, 1
         elif tag == "a":
             links = 0 if end else 1
@@ -149,20 +193,20 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
             close()
             links = 0
             if end:
-                if any(t == tag for _, t in stack[1:]):
-                    while stack.pop()[1] != tag:
+                if opened[tag]:
+                    while leave() != tag:
                         pass
             else:
                 if stack[-1][1] == "p" or (tag in HEADINGS and stack[-1][1] in HEADINGS):
-                    stack.pop()
+                    leave()
                 closes, border = ENDS.get(tag, ((), ()))
                 for i in range(len(stack) - 1, 0, -1) if closes else ():
                     if stack[i][1] in border:
                         break
                     if stack[i][1] in closes:
-                        del stack[i:]
+                        while len(stack) > i:
+                            leave()
                         break
-                attributes = token[3]
                 said = hints.get(attributes) if len(attributes) < 200 else None
                 if said is None:
                     said = hint(attributes) if attributes.strip() else "none"
@@ -171,6 +215,7 @@ def parse(page: str, hints: dict[str, str]) -> Tree:
                 tree.parent.append(stack[-1][0])
                 tree.feature.append((tag, said))
                 stack.append((len(tree.parent) - 1, tag))
+                opened[tag] += 1
     text(page[at:])
     close()
     return tree

@@ -178,6 +178,7 @@ def test_decontamination(spark):
     texts = [
         prose(rng, 300), f"{prose(rng, 50)} {items[0].upper()} {prose(rng, 50)}", f"x {edited} y", items[2].replace(" ", " ,, "),
         items[3][: len(items[3]) // 2], None, "", "Short, one!", "a short one b", f"{items[4]} {items[5]}",
+        "a short ones b", f"{items[0]} short one {items[1]}", "one short",
     ]
     table = docs_of(spark, texts).withColumn("ITEM_IDS", F.lit(1))
     got = {r["doc_id"]: r for r in decontaminate.find_items(table, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
@@ -189,14 +190,23 @@ def test_decontamination(spark):
                 best = decontaminate.brute_force(plain, body)
                 if best <= int(len(plain) * decontaminate.EDIT_SHARE):
                     want.append((k, best))
-            elif plain and plain == body:
+            elif plain and f" {plain} " in f" {body} ":
                 want.append((k, 0))
         assert [*zip(got[i]["item_ids"], got[i]["distances"], strict=True)] == want
-    assert got[1]["item_ids"] == [0] and got[9]["item_ids"] == [4, 5] and got[8]["item_ids"] == []
+    assert got[1]["item_ids"] == [0] and got[9]["item_ids"] == [4, 5] and got[8]["item_ids"] == [6]
+    assert got[10]["item_ids"] == [] and got[11]["item_ids"] == [0, 1, 6] and got[12]["item_ids"] == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_items(table, none).where("size(item_ids) = 0").count() == len(texts)
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    rng = random.Random(15)
+    items = [prose(rng, 30), "tiny item"]
+    body = f"{prose(rng, 100_000)} {items[0]} {prose(rng, 50_000)} tiny, item {prose(rng, 50_000)}"
+    found = decontaminate.find_items(docs_of(spark, [body]), spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    assert [(r["item_ids"], r["distances"]) for r in found.collect()] == [([0, 1], [0, 0])]
+
+
 def test_myers_distance_is_exact():
     rng = random.Random(6)
     for _ in range(150):
@@ -240,6 +250,42 @@ def test_page_text_with_implied_ends():
     assert read("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <object data=f>this</object>") == ["if x=1 then this"]
 
 
+def test_page_text_with_stray_quotes():
+    def read(page):
+        return [" ".join("".join(s).split()) for _, s, _ in html_graph.parse(page, {}).runs]
+
+    assert read('<p title="5" tall">One.</p><p>Two.</p>') == ["One.", "Two."]
+    assert read("<p title=it's>One.</p><p it's>Two.</p>") == ["One.", "Two."]
+    assert read("""<p a="x>y" b='"' c = "'">One.</p>""") == ["One."]
+    assert read('<p a="x>One.<p>Two.') == ["One.", "Two."]  # never closed
+    assert read("<!-->One.<!-- <p>no --><p>Two.</ p>, three</>.<!-- no") == ["One.", "Two., three."]
+    assert read("a < b <3 c") == ["a < b <3 c"]
+
+
+@pytest.mark.parametrize("piece", ['<a b "', "<a b ", "<p a='", "<a b='\"", "</script ", "<!--", "<", "</", "<li><div>", "</p><div>"])
+def test_long_broken_pages_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        started = time.process_time()
+        html_graph.parse("<script>x</script><p>One.</p>" + piece * n, {})
+        return time.process_time() - started
+
+    assert seconds(80_000) < 1 + 12 * seconds(20_000)  # sixteen times for quadratic work
+    assert seconds(80_000) < 20
+
+
+def test_page_text_of_an_empty_table_and_a_very_long_page(spark):
+    model = html_graph.train(html_graph.labelled_pages(100))
+    none = spark.createDataFrame([], "page_id long, html string")
+    assert html_graph.extract_text(none, model).collect() == []
+    blocks = [f"Sentence number {i} is here for you to read." for i in range(20_000)]
+    page = "<nav><a href=x>Home</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    long = spark.createDataFrame([(1, page)], "page_id long, html string")
+    (row,) = html_graph.extract_text(long, model).collect()
+    assert row["text"] == "\n\n".join(blocks)
+
+
 def test_marginals_are_exact():
     """Sum-product against summing over all labellings."""
     import itertools
