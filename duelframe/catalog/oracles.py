@@ -41,8 +41,7 @@ from raw_matches""",
 )
 ORACLES["landed_matches"] = oracle(
     ["matches"],
-    """select match_id, replace(league, ' ', '_') as league, season, date, home_team, away_team, home_shots, away_sot
-from matches""",
+    f"""select * replace (replace(league, ' ', '_') as league, {r_as(*MEASURES)}) from matches""",
 )
 ORACLES["base_match_columns"] = oracle(
     ["matches"],
@@ -52,11 +51,11 @@ ORACLES["base_match_columns"] = oracle(
 ORACLES["richest_row_dedup"] = oracle(
     ["matches"],
     f"""landed as (
-  select league, match_id, season, home_team, away_team, home_goals, home_xg, true as _stats from matches where home_goals is not null
-  union all select league, match_id, season, home_team, away_team, home_goals, null, false from matches),
+  select *, true as _stats from matches where home_goals is not null
+  union all select * replace (null as home_xg), false from matches),
 ranked as (select *, row_number() over (partition by league, match_id order by
   (home_goals is not null)::int + (home_xg is not null)::int desc, _stats desc) as place from landed)
-select league, match_id, season, home_team, away_team, home_goals, {r("home_xg")} as home_xg from ranked where place = 1""",
+select * exclude (_stats, place) replace ({r_as(*MEASURES)}) from ranked where place = 1""",
 )
 ORACLES["distinct_team_names"] = oracle(
     ["matches", "match_history"],

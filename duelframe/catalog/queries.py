@@ -82,10 +82,8 @@ def normalised_matches(spark, sf):
 @query
 def landed_matches(spark, sf):
     (matches,) = load(spark, sf, "matches")
-    landed = matches.select(
-        F.col("match_id").alias("GAME"), F.col("league").alias("League"), "season",
-        F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("Date"), "home_team", "away_team",
-        F.col("home_shots").alias("Home_Shot"), F.col("away_sot").alias("Away_ShotOnTarget"),
+    landed = matches.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).withColumnsRenamed(
+        {"match_id": "GAME", "league": "League", "date": "Date", "home_shots": "Home_Shot", "away_sot": "Away_ShotOnTarget"}
     )
     return norm.with_path_keys(norm.normalise_landed(landed), ["league"])
 
@@ -99,9 +97,7 @@ def base_match_columns(spark, sf):
 @query
 def richest_row_dedup(spark, sf):
     (matches,) = load(spark, sf, "matches")
-    keep = ["league", "match_id", "season", "home_team", "away_team", "home_goals", "home_xg"]
-    played = matches.filter("home_goals is not null").select(*keep)
-    return feature_plan.combine_landed([played], [matches.drop("home_xg").select(*keep[:-1])])
+    return feature_plan.combine_landed([matches.filter("home_goals is not null")], [matches.drop("home_xg")])
 
 
 @query

@@ -84,7 +84,7 @@ def _base(spark: SparkSession, args, matches, current=None):
 
 def training_features(spark: SparkSession, args) -> None:
     base = _base(spark, args, readers.read_match_tree(spark, args.input))
-    writers.write_features(feature_plan.build_features(base), args.output)
+    writers.write_features(feature_plan.build_features(base, pieces=args.pieces), args.output)
 
 
 def current_features(spark: SparkSession, args) -> None:
@@ -95,7 +95,8 @@ def current_features(spark: SparkSession, args) -> None:
     current = readers.read_optional(spark, args.current_ratings)
     if current is not None and "as_of_date" in current.columns:
         current = current.filter(F.col("as_of_date").cast("string") == args.as_of)
-    writers.write_features(feature_plan.build_features(_base(spark, args, landed, current)), args.output)
+    base = _base(spark, args, landed, current)
+    writers.write_features(feature_plan.build_features(base, pieces=args.pieces), args.output)
 
 
 def train(spark: SparkSession, args) -> None:
@@ -146,6 +147,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("job", choices=sorted(JOBS))
     for option in OPTIONS:
         parser.add_argument(f"--{option}", required=option in ("input", "output"))
+    parser.add_argument("--pieces", type=int, help="cut the teams' sequences into so many tasks, for teams too long for one")
     args = parser.parse_args(argv)
     JOBS[args.job](build_session(f"duelframe {args.job}"), args)
 
