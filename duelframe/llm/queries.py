@@ -40,12 +40,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = whole_text().cast("binary")
-    size, digest = F.octet_length(body).cast("long"), F.sha2(body, 256)
-    columns = [F.col("doc_id"), size.alias("n_bytes"), digest.alias("all_sha256")]
-    found = suffix_index.judged(read_table(spark, sf_dir, "documents"), columns)
-    kept = F.coalesce(F.sha2("kept", 256), "all_sha256").alias("kept_sha256")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", kept)
+    found = suffix_index.judged(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    body = whole_text("_row.text").cast("binary")
+    kept = F.sha2(F.coalesce("kept", body), 256).alias("kept_sha256")
+    return found.select("_row.doc_id", F.octet_length(body).cast("long").alias("n_bytes"), "n_removed", "n_spans", kept)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

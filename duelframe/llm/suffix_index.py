@@ -355,7 +355,8 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
-    """(key, n_removed, n_spans, kept): each different text that loses bytes."""
+    """(key, starts, ends): the spans of bytes that each different text loses; they may
+    overlap."""
     spark, mark = docs.sparkSession, written_so_far()
     every = stored(suffixes(docs, text, length, seed), "anchors")
     texts = every.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("_n"), F.max("n_bytes").alias("n_bytes"))
@@ -409,43 +410,48 @@ def repeats(docs: DataFrame, text: Column, length: int = LENGTH, seed: int = SEE
         F.collect_list((F.col("pos") - F.col("low") + length).cast("long")).alias("ends"),
     )
 
+    # Of a text that goes wholly every copy is one span; the bodies themselves stay behind.
+    gone = texts.where("whole").select("key", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
+    once = spans.join(texts.where("not whole").select("rid", "key"), "rid").select("key", "starts", "ends")
+    cuts = stored(once.unionByName(gone), "cuts")
+    forget_since(spark, mark, cuts)
+    return cuts
+
+
+def cut_spans(rows: DataFrame, body: Column, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `rows` with what the spans `starts`, `ends` take from `body`:
+    n_removed, n_spans, and the `kept` bytes (null where there are no spans: all of them)."""
+
     def work():
         def compute(columns: list[pa.Array]) -> list[pa.Array]:
             removed, counts, kept = [], [], []
-            for body, starts, ends in zip(*(c.to_pylist() for c in columns), strict=True):
-                cut = merge_spans(np.array(starts), np.array(ends))
+            for own, starts, ends in zip(*(c.to_pylist() for c in columns), strict=True):
+                cut = merge_spans(np.array(starts), np.array(ends)) if starts else []
                 removed.append(sum(b - a for a, b in cut))
                 counts.append(len(cut))
-                edges = [0, *(x for span in cut for x in span), len(body)]
-                kept.append(b"".join(body[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
+                edges = [0, *(x for span in cut for x in span), len(own or b"")]
+                kept.append(b"".join(own[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)) if cut else None)
             return [pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())]
 
         return compute
 
     fields = [StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())]
-    once = marked.where("not whole").select("rid", "key", "body").hint("shuffle_merge").join(spans, "rid")
-    cut = add_columns(once, [F.col("body"), F.col("starts"), F.col("ends")], fields, work, ["key"]).dropDuplicates(["key"])
-    gone = texts.where("whole").select("key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    cuts = stored(cut.unionByName(gone), "cuts")
-    forget_since(spark, mark, cuts)
-    return cuts
+    inputs = [F.when(F.col("starts").isNotNull(), body.cast("binary")), F.col("starts"), F.col("ends")]
+    return add_columns(rows, inputs, fields, work, keep)
 
 
-def judged(docs: DataFrame, columns: list[Column], length: int = LENGTH, text: str = "text", seed: int = SEED) -> DataFrame:
-    """`columns` of `docs` with `key` of the text and what it loses: n_removed, n_spans and
-    the `kept` bytes (null: all of them)."""
-    body = whole_text(text)
-    cuts = repeats(docs, body, length, seed)
-    keyed = docs.select(*columns, text_key(body).alias("key"))
-    return keyed.hint("shuffle_merge").join(cuts, "key", "left").withColumns(
-        {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_removed", "n_spans")}
-    )
+def judged(docs: DataFrame, length: int = LENGTH, text: str = "text", seed: int = SEED) -> DataFrame:
+    """Each row of `docs` as one value `_row`, with what its text loses (see `cut_spans`).
+    Texts meet their spans in one shuffle of the rows, by the key of the text."""
+    cuts = repeats(docs, whole_text(text), length, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_key(whole_text(text)).alias("key"))
+    return cut_spans(rows.hint("shuffle_merge").join(cuts, "key", "left"), whole_text(f"_row.`{text}`"), ["_row"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """`docs` with its repeated bytes cut out of `text`. Bytes that a cut leaves of a broken
     character are dropped, since a string cannot hold them."""
-    found = judged(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")], length, seed=seed)
+    found = judged(docs, length, seed=seed)
     clean = F.when(F.col("kept").isNull(), F.col("_row.text")).otherwise(valid_text(F.col("kept")))
     return found.select(F.col("_row").withField("text", clean).alias("_row")).select("_row.*")
 
