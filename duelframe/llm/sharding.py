@@ -7,14 +7,13 @@ as key 0. Rows with equal keys share a shard; each still gets a slot of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField
 
-from duelframe.llm.common import stored
+from duelframe.llm.common import add_columns, stored
 
 #: Multiplier of the 64-bit generator that jump consistent hashing draws from; fixed value.
 JUMP = np.uint64(2862933555777941757)
@@ -37,15 +36,19 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    """The shard of a long key as a column."""
+def with_shards(rows: DataFrame, key: str, columns: dict[str, int]) -> DataFrame:
+    """`rows` with a column for each number of shards in `columns`, all from one pass over
+    the rows: a task keeps one Python worker, however many columns are asked for."""
+
+    def work():
+        def compute(inputs: list[pa.Array]) -> list[pa.Array]:
+            keys = inputs[0].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            return [pa.array(jump_hash(keys, n), pa.int32()) for n in columns.values()]
 
-    @F.pandas_udf("int")
-    def jump(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for keys in batches:
-            yield pd.Series(jump_hash(keys.to_numpy(np.int64).view(np.uint64), shards))
+        return compute
 
-    return jump(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
+    fields = [StructField(name, IntegerType()) for name in columns]
+    return add_columns(rows, [F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))], fields, work)
 
 
 def assign(rows: DataFrame, key: str, shards: int) -> DataFrame:
@@ -55,7 +58,7 @@ def assign(rows: DataFrame, key: str, shards: int) -> DataFrame:
     their own, after the counts of the tasks before: no task sees a whole shard. `rows`
     is stored with its shards once, so give only the columns to keep.
     """
-    named = rows.withColumn("shard", shard_of(F.col(key), shards)).withColumn("grown_shard", shard_of(F.col(key), shards + 1))
+    named = with_shards(rows, key, {"shard": shards, "grown_shard": shards + 1})
     base = stored(named.withColumn("_part", F.spark_partition_id()), "shards")
     counts = base.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")

@@ -476,3 +476,15 @@ def test_nearest_by_codes(spark):
     few = rotated_codes.nearest(table.where("vec_id in (0, 3, 1005)"), "vec_id", "embedding", F.col("id") % 20 == 0, 20)
     assert [(r["rank"], r["vec_id"]) for r in few.orderBy("rank").collect()][-2:] in ([(1, 3), (2, 1005)],)
     assert rotated_codes.nearest(table.limit(0), "vec_id", "embedding", F.col("id") % 20 == 0, 20).count() == 0
+
+
+def test_shards_come_from_one_pass_in_python(spark, monkeypatch):
+    plans = []
+    keep = sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, label))
+    rows = spark.createDataFrame([(i if i % 7 else None,) for i in range(100)], "doc_id long")
+    got = sharding.assign(rows, "doc_id", 8).collect()
+    assert sum(plans[0].count(node) for node in ("ArrowEvalPython", "MapInArrow")) == 1
+    keys = np.array([r["doc_id"] or 0 for r in got], np.uint64)
+    assert [r["shard"] for r in got] == sharding.jump_hash(keys, 8).tolist()
+    assert [r["grown_shard"] for r in got] == sharding.jump_hash(keys, 9).tolist()
