@@ -4,7 +4,8 @@ Rows of the incidence matrix are documents (equal rows are one), columns are n-g
 64-bit hash. Two rows of sizes a and b whose Jaccard similarity is at least `t` differ in
 at most (a + b)(1 - t)/(1 + t) columns. Columns are therefore cut into more blocks than
 that, by hash and size class: linked rows are equal in at least one block, and a row of
-the candidate table is (block's content, document).
+the candidate table is (block's content, document). With some blocks more, each row leaves
+out as many of those with the fewest columns, in which rows without a link meet most often.
 
 Rows that meet are gathered around the one that meets most others. How many columns each
 row has in some hundred buckets bounds the overlap of two rows from above; a group falls
@@ -41,8 +42,8 @@ from duelframe.llm.wordhash import mix, shingle_sets
 
 #: Ratio of the size classes that share a number of blocks.
 CLASS_RATIO = 1.3
-#: Share of extra blocks; as many blocks of fewer than WEAK columns may be left out.
-SLACK, WEAK = 0.06, 4
+#: Share of extra blocks; each row leaves out as many, those of the fewest columns.
+SLACK = 0.06
 #: Rows multiplied at once, and columns per block of the product.
 GROUP, COLUMNS = 1_024, 8_192
 #: Rows of a group held against each other by their bucket counts in one task, and the
@@ -50,9 +51,17 @@ GROUP, COLUMNS = 1_024, 8_192
 SIFTED, MOST_BITS = 4_096, 12
 
 
+def weight(size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order in which blocks are left out: fewest columns first, then by key. Equal blocks
+    of two rows weigh the same, and no two blocks of a row do unless by collision."""
+    most = np.uint64(255)
+    return np.minimum(size.astype(np.uint64), most) << np.uint64(56) | key >> np.uint64(8)
+
+
 def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a row's column blocks, for its own size class and, if a linked row may be in
-    the next one, for that too."""
+    the next one, for that too. A row leaves out its `extra` lightest blocks: linked rows are
+    equal in more than `extra` blocks, and the heaviest of these is left out by neither."""
     n = len(row)
     if not n:
         return np.zeros(0, np.int64)
@@ -72,8 +81,7 @@ def block_keys(row: np.ndarray, percent: int) -> np.ndarray:
         content = sums[ends] - sums[ends - size]
         seed = (np.arange(blocks, dtype=np.uint64) << np.uint64(32)) + np.uint64(c * 1_000_003 + 17)
         key = mix(mix(seed) ^ content)
-        strong = size >= WEAK
-        keys.append(key[strong] if blocks - strong.sum() <= extra else key)
+        keys.append(key[np.argpartition(weight(size, key), extra)[extra:]] if extra else key)
     return np.concatenate(keys).view(np.int64)
 
 
@@ -427,22 +435,25 @@ def group_edges(groups: DataFrame, docs: DataFrame, words: int, percent: int) ->
 
 def similarity_classes(docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`: links reach `percent`."""
-    mark = written_so_far()
+    spark, mark = docs.sparkSession, written_so_far()
     rows = stored(incidence(docs, whole_text(text), key, words, percent), "incidence")
     some = rows.where("row is not null")
     classes = some.groupBy("row").agg(
         F.min("doc_id").alias("first"), F.max("id_row").alias("id_row"), F.max("n_shingles").alias("n"), F.max("counts").alias("counts")
     )
     classes = stored(classes, "classes")
+    digests = stored(rows.select("doc_id", "n_shingles", "row"), "rows")
     # Rows without an id meet nobody: an equal row with one has the same keys, and a middle needs an id.
-    groups = sift(middles(meeting_rows(some.where("doc_id is not null"))), classes.select("id_row", "n", "counts"), percent)
+    groups = middles(meeting_rows(some.where("doc_id is not null")))
+    forget_since(spark, mark, classes, digests, groups)
+    groups = sift(groups, classes.select("id_row", "n", "counts"), percent)
+    forget_since(spark, mark, classes, digests, groups)
     groups = groups.join(classes.select("id_row", F.col("first").alias("doc_id")), "id_row")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     parts = stored(components(group_edges(groups, texts, words, percent)), "parts")
     named = classes.join(parts, classes["first"] == parts["node"], "left")
     named = stored(named.select("row", F.coalesce("component", "first").alias("component_id")), "named")
-    digests = stored(rows.select("doc_id", "n_shingles", "row"), "rows")
-    forget_since(docs.sparkSession, mark, named, digests)
+    forget_since(spark, mark, named, digests)
     return digests.select("doc_id", "n_shingles", "row").join(named, "row", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -488,3 +488,26 @@ def test_shards_come_from_one_pass_in_python(spark, monkeypatch):
     keys = np.array([r["doc_id"] or 0 for r in got], np.uint64)
     assert [r["shard"] for r in got] == sharding.jump_hash(keys, 8).tolist()
     assert [r["grown_shard"] for r in got] == sharding.jump_hash(keys, 9).tolist()
+
+
+def test_rows_leave_out_their_lightest_blocks():
+    rng = np.random.default_rng(5)
+    for n, percent in ((480, 80), (1500, 80), (300, 90)):
+        row = rng.integers(0, 2**63, n, dtype=np.uint64)
+        keys = ngram_join.block_keys(row, percent)
+        gone = n * (100 - percent) // (100 + percent)  # as many columns as a linked row of the same size may lack
+        other = np.append(row[gone:], rng.integers(0, 2**63, gone, dtype=np.uint64))
+        assert len(np.intersect1d(keys, ngram_join.block_keys(other, percent)))
+        # Rows without a common column meet in blocks that have none, if anywhere.
+        strangers = [ngram_join.block_keys(rng.integers(0, 2**63, n, dtype=np.uint64), percent) for _ in range(40)]
+        assert sum(len(np.intersect1d(keys, k)) for k in strangers) <= 10
+
+
+def test_last_merge_keeps_no_array(spark, monkeypatch):
+    labels, keep = [], suffix_index.stored
+    monkeypatch.setattr(suffix_index, "stored", lambda df, label: labels.append(label) or keep(df, label))
+    same = "".join(chr(97 + i * i % 23) for i in range(300))
+    rows = docs_of(spark, [f"{i} " * 60 + same + f" {i}" * 60 for i in range(6)])
+    cuts = suffix_index.repeats(rows, F.col("text"), 200, 64, 2)
+    assert cuts.count() == 6
+    assert labels.count("suffixes") == 2  # one for each batch
