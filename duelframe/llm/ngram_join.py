@@ -16,7 +16,9 @@ bound that their sizes set are dropped, and what leaves the task is a spanning t
 links, not the pairs. Groups above `GROUP` rows are first compared with their middle row
 only; Jaccard distance being a metric, rows close to the middle are linked to each other
 already, rows far from it cannot link with those, and only the rest is multiplied in
-pieces. Block keys are dealt by range over (key, row), which splits a key of any size.
+pieces. Block keys are dealt by range over (key, row), which splits a key of any size, and
+in passes, so that only a share of them is in shuffle files at a time. Texts are shuffled
+once, for groups of any size.
 
 Words are split at the six ASCII separators, A-Z count as a-z. A text with fewer words than
 an n-gram has one column, its whole sequence; null, empty and wordless texts have none and
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,8 @@ CLASS_RATIO = 1.3
 SLACK = 0.06
 #: Rows multiplied at once, and columns per block of the product.
 GROUP, COLUMNS = 1_024, 8_192
+#: Passes in which the block keys are dealt.
+PASSES = 4
 #: Rows of a group held against each other by their bucket counts in one task, and the
 #: logarithm of the most buckets.
 SIFTED, MOST_BITS = 4_096, 12
@@ -187,11 +192,11 @@ def incidence(docs: DataFrame, text: Column, key: str, words: int, percent: int)
     return add_columns(base, [F.col("text")], fields, work, ["doc_id"])
 
 
-def meeting_rows(rows: DataFrame) -> DataFrame:
-    """(key, id_row) of block keys that more than one row has. Dealt by range over key and
-    row, each task streams its sorted part; the first and last key of a part may go on in
-    the next one, so they are kept in any case."""
-    pairs = rows.select(F.explode("keys").alias("key"), "id_row")
+def meeting_rows(rows: DataFrame, turn: int) -> DataFrame:
+    """(key, id_row) of the block keys of pass `turn` that more than one row has. Dealt by
+    range over key and row, each task streams its sorted part; the first and last key of a
+    part may go on in the next one, so they are kept in any case."""
+    pairs = rows.select(F.explode("keys").alias("key"), "id_row").where(F.pmod("key", F.lit(PASSES)) == turn)
     dealt = pairs.repartitionByRange("key", "id_row").sortWithinPartitions("key", "id_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +229,9 @@ def meeting_rows(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, id_row long")
 
 
-def middles(meeting: DataFrame) -> DataFrame:
+def middles(met: DataFrame) -> DataFrame:
     """(middle, id_row, met, degree): each key's rows around the row that meets most others,
     with the keys through which each belongs there, no more than the row has."""
-    met = stored(meeting, "meeting")
     degree = met.groupBy("id_row").agg(F.count("*").alias("_d"))
     best = met.join(degree, "id_row").groupBy("key").agg(
         F.max(F.struct("_d", "id_row")).alias("_best"), F.min("id_row").alias("_low"), F.max("id_row").alias("_high")
@@ -403,14 +407,17 @@ def group_edges(groups: DataFrame, docs: DataFrame, words: int, percent: int) ->
     sizes = groups.groupBy("middle").agg(F.count("*").alias("_rows"))
     sized = stored(groups.join(sizes, "middle"), "sized")
     zero = F.lit(0).cast("long")
-    plain = sized.where(F.col("_rows") <= GROUP).groupBy("doc_id", "id_row").agg(F.collect_list("middle").alias("middles"))
-    single = with_grams(docs, plain, words).withColumn("middle", F.explode("middles"))
+    plain = F.col("_rows") <= GROUP
+    members = sized.groupBy("doc_id", "id_row").agg(
+        F.collect_list(F.when(plain, F.col("middle"))).alias("middles"), F.max(~plain).alias("large")
+    )
+    grams = stored(with_grams(docs, members, words), "grams")
+    single = grams.select("doc_id", "id_row", "grams", F.explode("middles").alias("middle"))
     edges = product(single.withColumns({"i": zero, "j": zero}), percent)
-    large = sized.where(F.col("_rows") > GROUP)
+    large = sized.where(~plain).select("middle", "id_row", "doc_id")
     if large.isEmpty():
         return edges
-    grams = stored(with_grams(docs, large.select("doc_id", "id_row").distinct(), words).distinct(), "grams")
-    large = large.select("middle", "id_row", "doc_id")
+    grams = stored(grams.where("large").select("doc_id", "id_row", "n", "grams").distinct(), "large")
     centre = grams.select(F.col("id_row").alias("middle"), F.col("doc_id").alias("c"), F.col("n").alias("c_n"), F.col("grams").alias("middle_grams"))
     near = overlap_with_middle(large.join(grams, ["id_row", "doc_id"]).join(centre, "middle").select("middle", "c", "c_n", "id_row", "doc_id", "n", "grams", "middle_grams"))
     union = F.col("n") + F.col("c_n") - F.col("overlap")
@@ -444,7 +451,9 @@ def similarity_classes(docs: DataFrame, words: int, percent: int, key: str = "do
     classes = stored(classes, "classes")
     digests = stored(rows.select("doc_id", "n_shingles", "row"), "rows")
     # Rows without an id meet nobody: an equal row with one has the same keys, and a middle needs an id.
-    groups = middles(meeting_rows(some.where("doc_id is not null")))
+    met = [stored(meeting_rows(some.where("doc_id is not null"), turn), "meeting") for turn in range(PASSES)]
+    forget_since(spark, mark, classes, digests, *met)
+    groups = middles(reduce(DataFrame.unionByName, met))
     forget_since(spark, mark, classes, digests, groups)
     groups = sift(groups, classes.select("id_row", "n", "counts"), percent)
     forget_since(spark, mark, classes, digests, groups)

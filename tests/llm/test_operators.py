@@ -511,3 +511,26 @@ def test_last_merge_keeps_no_array(spark, monkeypatch):
     cuts = suffix_index.repeats(rows, F.col("text"), 200, 64, 2)
     assert cuts.count() == 6
     assert labels.count("suffixes") == 2  # one for each batch
+
+
+def test_keys_go_in_passes_and_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    labels, keep, joins, join = [], ngram_join.stored, [], ngram_join.with_grams
+    monkeypatch.setattr(ngram_join, "stored", lambda df, label: labels.append(label) or keep(df, label))
+    monkeypatch.setattr(ngram_join, "with_grams", lambda *args: joins.append(args) or join(*args))
+    rng = random.Random(12)
+    texts = []
+    for copies in (12, 3):  # a group above GROUP rows and one below
+        base = prose(rng, 200).split()
+        for i in range(copies):
+            texts.append(" ".join(base[: 13 * i] + [f"z{i}"] + base[13 * i + 1 :]))
+    got = ngram_join.similarity_classes(docs_of(spark, texts), 3, 90).collect()
+    assert sorted(map(tuple, got)) == brute_components(texts, 3, 90)
+    assert labels.count("meeting") == ngram_join.PASSES > 1
+    assert len(joins) == 1
+
+
+def test_passes_deal_every_key_once(spark):
+    rows = spark.createDataFrame([(i, [k * 7 - 50 for k in range(20) if i % 3 or k % 2]) for i in range(6)], "id_row long, keys array<long>")
+    parts = [{r["key"] for r in ngram_join.meeting_rows(rows, turn).collect()} for turn in range(ngram_join.PASSES)]
+    assert sorted(k for part in parts for k in part) == [k * 7 - 50 for k in range(20)]
