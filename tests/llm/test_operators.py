@@ -18,6 +18,7 @@ from duelframe.llm import (
     langid,
     lengths,
     ngram_join,
+    queries,
     rotated_codes,
     sharding,
     suffix_index,
@@ -451,6 +452,23 @@ def test_removed_repeats_leave_text(spark):
     assert suffix_index.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_suffix_dedup_query_at_400_bytes(spark, tmp_path):
+    rng = random.Random(21)
+    sizes = (310, 399, 400, 401, 560)  # more than fifty words each
+    passages = [prose(rng, 200)[:n].replace(" w", " ") for n in (400, 520, 560, 600, 800)]
+    passages = [p[:n] for p, n in zip(passages, sizes, strict=True)]
+    assert [len(p) for p in passages] == list(sizes) and all(len(p.split()) > 50 for p in passages)
+    texts = [None, ""]
+    for p in passages:  # nothing but the passage is shared by its two documents
+        texts += [f"{prose(rng, 60)} <{p}> {prose(rng, 60)}", f"{prose(rng, 60)} ({p}) {prose(rng, 60)}"]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    got = [(rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) for i in range(len(texts))]
+    assert got == brute_repeats(texts, 400)
+    assert [g[0] for g in got] == [0, 0, 0, 0, 0, 0, 400, 400, 401, 401, 560, 560]
+    assert [rows[i]["n_bytes"] for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
+
+
 def test_nearest_by_codes(spark):
     rng = np.random.default_rng(11)
     points = rng.standard_normal((900, 24)) + rng.standard_normal(24)
