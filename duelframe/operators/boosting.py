@@ -30,16 +30,19 @@ from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from duelframe.functions.columns import quoted
 
-#: Parameters that a caller may leave out. `most_rows` bounds the rows that a fit reads (a
-#: sample by the hash of the row beyond it), `task_rows` the rows of one task. An exchange
-#: between tasks takes about a second however small it is, so fewer tasks fit faster until a
-#: task's rows no longer fit its memory (a byte a feature, and two for each class).
+#: Parameters that a caller may leave out. A fit reads all rows, unless the caller bounds them by
+#: `most_rows`; `task_rows` are the rows of one task as long as there are tasks to be had. An
+#: exchange between tasks takes about a second however small it is, so fewer tasks fit faster
+#: until a task's rows no longer fit its memory (a byte a feature, and some 40 for each class).
 DEFAULTS = {
     "trees": 100, "rate": 0.1, "leaves": 31, "depth": 30, "min_rows": 20, "min_weight": 1e-3,
     "columns": 1.0, "rows": 1.0, "l1": 0.0, "l2": 0.0, "bins": 64, "seed": 0,
-    "most_rows": 1_000_000, "task_rows": 1_000_000,
+    "most_rows": None, "task_rows": 1_000_000,
 }
 
+#: Rows of a leaf that are added up at once, and bytes of an exchange that all tasks together send.
+FEW_ROWS, EXCHANGE_BYTES = 4_096, 1 << 26
+
 TREE_SCHEMA = "round int, class int, node int, feature int, bin int, left int, right int, value double, gain double, rows long"
 
 
@@ -173,15 +176,25 @@ class _Fit:
     """What one task does of a fit: `exchange` adds an array over all tasks."""
 
     def __init__(self, codes, keys, exchange, several: bool, bins: int, p: dict):
-        self.codes, self.keys, self.exchange, self.several = codes, keys, exchange, several
+        # Column by column, as sums and splits read them.
+        self.codes, self.keys, self.exchange, self.several = np.asfortranarray(codes), keys, exchange, several
         self.width, self.p = bins + 1, p
 
-    def _sums(self, codes, rows, g, h, w) -> np.ndarray:
-        n_features = codes.shape[1]
-        flat = codes[rows].ravel()
-        size = n_features * self.width
-        parts = [np.bincount(flat, np.repeat(x[rows], n_features), size) for x in (g, h, w)]
-        return np.stack(parts, axis=-1).reshape(n_features, self.width, 3)
+    def _sums(self, used, rows, g, h, w) -> np.ndarray:
+        """Sums by feature of `used` and bin. Both ways add the rows in the same order: many rows
+        a feature at a time, few at once, as each call costs some microseconds."""
+        weights = [x[rows] for x in (g, h, w)]
+        if len(rows) > FEW_ROWS:
+            out = np.empty((len(used), self.width, 3))
+            for i, feature in enumerate(used):
+                bins = self.codes[:, feature][rows].astype(np.intp)
+                for j, x in enumerate(weights):
+                    out[i, :, j] = np.bincount(bins, x, self.width)
+            return out
+        places, size = np.arange(len(used))[:, None] * self.width, len(used) * self.width
+        flat = (self.codes.T[used[:, None], rows] + places).ravel()
+        parts = [np.bincount(flat, np.tile(x, len(used)), size) for x in weights]
+        return np.stack(parts, axis=-1).reshape(len(used), self.width, 3)
 
     def _in_round(self, step: int) -> np.ndarray:
         """1.0 for the rows that this round sees, by the hash of the row and the round."""
@@ -200,12 +213,11 @@ class _Fit:
         work = []
         for c, (g, h) in enumerate(gradients):
             rng = np.random.default_rng([p["seed"], step, c])
-            used = np.sort(rng.choice(n_all, n_used, replace=False))
-            places = np.arange(n_used) * self.width
-            codes = self.codes[:, used] + places.astype(np.min_scalar_type(n_used * self.width))
-            work.append((used, codes, g * seen, h * seen))
-        everyone = np.arange(len(self.codes))
-        sums = self.exchange(np.stack([self._sums(codes, everyone, g, h, seen) for _, codes, g, h in work]))
+            g *= seen
+            h *= seen
+            work.append((np.sort(rng.choice(n_all, n_used, replace=False)), g, h))
+        everyone = np.arange(len(self.codes), dtype=np.min_scalar_type(-len(self.codes) - 1))
+        sums = self.exchange(np.stack([self._sums(used, everyone, g, h, seen) for used, g, h in work]))
         trees = [_Tree(_Leaf(everyone, s, split, 0), p) for s, split in zip(sums, best_splits(sums, p), strict=True)]
         while True:
             wanted = [(c, leaf) for c, tree in enumerate(trees) for leaf in tree.wanted(self.several)]
@@ -213,14 +225,14 @@ class _Fit:
                 return [(used, tree) for (used, *_), tree in zip(work, trees, strict=True)]
             here, sides = [], []
             for c, leaf in wanted:
-                _, codes, g, h = work[c]
+                used, g, h = work[c]
                 _, feature, bin_ = leaf.split
-                goes_left = codes[leaf.rows, feature] <= feature * self.width + bin_
+                goes_left = self.codes[leaf.rows, used[feature]] <= bin_
                 sides.append((leaf.rows[goes_left], leaf.rows[~goes_left]))
                 # Only the side with fewer rows is added up; the other is what remains.
                 n_left = leaf.sums[feature, : bin_ + 1, 2].sum()
                 small = 0 if 2 * n_left <= leaf.sums[feature, :, 2].sum() else 1
-                here.append((small, self._sums(codes, sides[-1][small], g, h, seen)))
+                here.append((small, self._sums(used, sides[-1][small], g, h, seen)))
             small_sums = self.exchange(np.stack([s for _, s in here]))
             both = np.empty((2 * len(wanted), *small_sums.shape[1:]))
             for i, ((small, _), (_, leaf)) in enumerate(zip(here, wanted, strict=True)):
@@ -237,13 +249,17 @@ class _Fit:
         shares = np.clip(counts / max(counts.sum(), 1.0), 1e-15, 1.0)
         base = np.log(shares) if n_classes > 1 else np.log(shares[1:] / shares[:1])
         scores = np.tile(base, (len(labels), 1))
-        truth = np.eye(n_classes)[labels] if n_classes > 1 else labels[:, None].astype(np.float64)
         out = []
         for step in range(p["trees"]):
             probability = probabilities(scores)
-            g = probability - truth
-            h = probability * (1.0 - probability) * (n_classes / (n_classes - 1) if n_classes > 1 else 1.0)
-            grown = self.grow(step, [(g[:, c], h[:, c]) for c in range(n_classes)])
+            # Each class its own arrays, which are not kept beside the probabilities.
+            gradients = []
+            for c in range(n_classes):
+                chance = probability[:, c]
+                h = chance * (1.0 - chance) * (n_classes / (n_classes - 1) if n_classes > 1 else 1.0)
+                gradients.append((chance - (labels == (c if n_classes > 1 else 1)), h))
+            del probability, chance
+            grown = self.grow(step, gradients)
             for c, (used, tree) in enumerate(grown):
                 values, sizes = {}, {}
                 for leaf in tree.leaves:
@@ -277,11 +293,11 @@ def _task(columns: list[int], n_classes: int, bins: int, p: dict, several: bool)
         first = context is None or context.partitionId() == 0
         labels, keys, codes = [], [], []
         for batch in batches:
-            labels.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            labels.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int16))
             keys.append(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             rows = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             codes.append(rows[:, columns])
-        labels = np.concatenate(labels) if labels else np.zeros(0, np.int64)
+        labels = np.concatenate(labels) if labels else np.zeros(0, np.int16)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         codes = np.concatenate(codes) if codes else np.zeros((0, len(columns)), np.uint8)
         order = np.lexsort((labels, keys))  # the same sums in every run
@@ -289,11 +305,18 @@ def _task(columns: list[int], n_classes: int, bins: int, p: dict, several: bool)
         def exchange(mine: np.ndarray) -> np.ndarray:
             if context is None:
                 return mine
-            texts = context.allGather(base64.b64encode(mine.tobytes()).decode())
-            return np.sum([np.frombuffer(base64.b64decode(t), np.float64).reshape(mine.shape) for t in texts], axis=0)
-
-        fit = _Fit(codes[order], keys[order], exchange, several, bins, p)
-        base, rows = fit.run(labels[order], n_classes)
+            # In portions, as each goes through the driver to every task in one message.
+            portions = max(1, -(-mine.nbytes * len(context.getTaskInfos()) // EXCHANGE_BYTES))
+            out = []
+            for portion in np.array_split(mine.ravel(), portions):
+                texts = context.allGather(base64.b64encode(portion.tobytes()).decode())
+                out.append(np.sum([np.frombuffer(base64.b64decode(t), np.float64) for t in texts], axis=0))
+            return np.concatenate(out).reshape(mine.shape)
+
+        codes, keys, labels = codes[order], keys[order], labels[order]
+        del order
+        fit = _Fit(codes, keys, exchange, several, bins, p)
+        base, rows = fit.run(labels, n_classes)
         if first:
             rows = [(-1, c, 0, -1, 0, -1, -1, b, 0.0, 0) for c, b in enumerate(base)] + rows
             names = [part.split()[0] for part in TREE_SCHEMA.split(", ")]
@@ -305,9 +328,9 @@ def _task(columns: list[int], n_classes: int, bins: int, p: dict, several: bool)
     return run
 
 
-def _sampled(matrix: DataFrame, most: int, rows: int) -> DataFrame:
-    """All rows, or beyond `most` of them a sample by key."""
-    if rows <= most:
+def _bounded(matrix: DataFrame, most: int | None, rows: int) -> DataFrame:
+    """All rows, or where the caller bounds them and there are more, about `most` by key."""
+    if most is None or rows <= most:
         return matrix
     return matrix.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(1_000_000 * most / rows))
 
@@ -330,9 +353,10 @@ def fit(
     counted = labelled.count()
     if not counted:
         raise ValueError("no labelled rows to fit")
-    rows = _sampled(labelled, p["most_rows"], counted)
-    tasks = max(1, math.ceil(min(counted, p["most_rows"]) / p["task_rows"]))
-    # A barrier stage needs all its tasks at once, which executors that come and go cannot promise.
+    rows = _bounded(labelled, p["most_rows"], counted)
+    tasks = max(1, math.ceil(min(counted, p["most_rows"] or counted) / p["task_rows"]))
+    # A barrier stage needs all its tasks at once, which executors that come and go cannot promise:
+    # Spark refuses it there, and one task then reads all rows.
     elastic = spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true"
     tasks = 1 if elastic else min(tasks, slots or spark.sparkContext.defaultParallelism)
     at = {f: i for i, f in enumerate(all_features)}
